@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from siltseek.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from siltseek.llm.packing import op8_packing
 from siltseek.llm.sharding import op2_sharding
+from siltseek.llm.token_counts import op3_token_counts
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_packing": op8_packing,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
