@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltseek.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from siltseek.llm.near_dedup import op4_near_dedup
 from siltseek.llm.packing import op8_packing
 from siltseek.llm.repeated_windows import op7_repeated_windows
 from siltseek.llm.sharding import op2_sharding
@@ -11,6 +12,7 @@ from siltseek.llm.token_counts import op3_token_counts
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_repeated_windows": op7_repeated_windows,
     "op8_packing": op8_packing,
