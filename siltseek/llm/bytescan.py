@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -36,11 +36,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``limit`` bytes of text or more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index(text)).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) with at most ``limit`` bytes, or one larger document."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _gathered(batches, text, limit):
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
         first = 0
         while first < batch.num_rows:
@@ -71,7 +84,7 @@ class Sums:
     """Running sums of a block; hashes of its substrings."""
 
     def __init__(self, data: np.ndarray) -> None:
-        size = 1 << max(22, int(len(data)).bit_length())
+        size = BLOCK * max(1, -(-len(data) // BLOCK))
         up, self._down = _powers(size)
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUES[data] * up[: len(data)], out=self._sums[1:])

@@ -29,9 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+#: Whole texts and shingle sets are wide rows: a Python worker gets so many at a time.
+ARROW_ROWS = 1000
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads the written files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siltseek/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(ARROW_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
