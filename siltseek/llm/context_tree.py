@@ -7,10 +7,10 @@ estimates a bit by Krichevsky-Trofimov counts, and the weighted probability of a
 node is the mean of its own estimate and the product of its children's, so each
 prediction mixes all depths by how well they coded the training bytes.
 
-A context is a node if it holds at least a given share of the training bytes;
-what a node's children leave over is one more child, *the rest*. So there are at
-most 1/share nodes a depth, whatever the corpus, no byte goes uncounted, and the
-tree is a proper one. Scoring uses the counts as they are after training.
+The contexts with the highest counts are nodes, up to a number of states that
+bounds the tree's size whatever the corpus; what a node's children leave over is
+one more child, *the rest*, so no byte goes uncounted and the tree is a proper
+one. Scoring uses the counts as they are after training.
 """
 
 from __future__ import annotations
@@ -94,14 +94,29 @@ def _bit_counts(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _estimates(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _estimates(symbols: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(log of the KT block probability, probability that the next bit is 1) by bit node."""
+    if len(symbols) > rows:  # a slice at a time, for memory
+        log_block, p = np.empty((len(symbols), 256)), np.empty((len(symbols), 256), np.float32)
+        for i in range(0, len(symbols), rows):
+            log_block[i : i + rows], p[i : i + rows] = _estimates(symbols[i : i + rows], rows)
+        return log_block, p
     counts = _bit_counts(symbols)
     a, b = counts[:, 0:512:2][:, :256], counts[:, 1:512:2][:, :256]  # children 2v and 2v + 1 of node v
     log_block = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
     return log_block, (b + 0.5) / (a + b + 1)
 
 
+def _byte_costs(bit: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the 256 bytes from P(1) at each bit node."""
+    p = np.clip(bit.astype(np.float64), 1e-12, 1 - 1e-12)
+    total = np.zeros((len(p), 1))
+    for level in range(8):  # nodes 2^level to 2^(level + 1) - 1 are this level's
+        one = p[:, 1 << level : 2 << level]
+        total = np.stack([total + np.log10(1 - one), total + np.log10(one)], axis=2).reshape(len(p), -1)
+    return total
+
+
 @dataclass
 class Tree:
     """``step[state, byte]`` walks back from a byte; ``cost[state, byte]`` is its log10 probability."""
@@ -157,7 +172,7 @@ def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tree:
         below = weighted
     # downwards: what all shallower nodes say, and the weight left for deeper ones
     start = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-    step = np.empty((start[-1], 256), np.int32)
+    step = np.empty((start[-1], 256), np.uint16 if start[-1] <= 1 << 16 else np.int32)
     cost = np.empty((start[-1], 256), np.float32)
     said, left = np.zeros((1, 256), np.float32), np.ones((1, 256), np.float32)
     for d in range(depth + 1):
@@ -170,12 +185,8 @@ def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tree:
             said = said + left * own[d] * ones[d]
             left = left * (1 - own[d])
             bit = said + left * rest_ones[d]
-        bit = np.clip(bit.astype(np.float64), 1e-12, 1 - 1e-12)
-        total = np.zeros((len(contexts[d]), 2))
-        for level in range(8):  # nodes of this level are bit[:, 2^level : 2^(level + 1)]
-            p = bit[:, 1 << level : 2 << level]
-            total = np.stack([(total[:, : 1 << level] if level else 0) + np.log10(1 - p), (total[:, : 1 << level] if level else 0) + np.log10(p)], axis=2).reshape(len(p), -1)
-        cost[here] = total
+        for i in range(0, len(bit), 1024):
+            cost[start[d] + i : start[d] + min(i + 1024, len(bit))] = _byte_costs(bit[i : i + 1024])
         # a state that has no child for a byte stays itself: its rest child predicts
         step[here] = np.arange(start[d], start[d + 1])[:, None]
         if d:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltseek.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from siltseek.llm.lm_scoring import op10_lm_scoring
 from siltseek.llm.near_dedup import op4_near_dedup
 from siltseek.llm.packing import op8_packing
 from siltseek.llm.repeated_windows import op7_repeated_windows
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_repeated_windows": op7_repeated_windows,
     "op8_packing": op8_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
