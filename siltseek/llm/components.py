@@ -1,38 +1,70 @@
-"""Connected components of a link table, in rounds of joins (never on the driver)."""
+"""Connected components of a link table, in rounds of tasks (never on the driver)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from siltseek.llm.scratch import scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links contracted to (root, node); a root is the smallest node it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    away = label != np.arange(len(nodes))
+    return nodes[label[away]], nodes[away]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: a task's links as a forest, (node, root) for each node but the roots."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        a, b = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (0, 1))
+        root, node = forest(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links to (node, component), the component being its smallest node.
 
-    Alternating star contraction: each node tells its larger neighbours of its
-    smallest neighbour, then each node its smaller ones, until every node points
-    at its root. Rounds grow with the logarithm of the longest path, and every
-    round is cut off by a written table. Nodes without a link do not appear.
+    A round deals the links by their larger end and contracts each task's links
+    to a forest: a node that was given several roots links them there. Then every
+    root that is itself a node hands its own root down. The forest that a round
+    leaves unchanged gives each node one root that is nobody's node. Links are
+    dealt by their nodes, not by their roots, so a component with a third of all
+    nodes is spread over all tasks. Rounds grow with the logarithm of the longest
+    path and each is cut off by a written table. Nodes without a link do not
+    appear.
     """
-    e = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     before = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = scratch(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        now = _state(e)
-        if now == before:
+        state = Observation()
+        contracted = e.repartition(n, "a").mapInArrow(_contract, "a long, b long")
+        e = scratch(contracted.observe(state, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "forest")
+        now = (state.get["n"], state.get["x"])
+        if now == before or not now[0]:
             break
         before = now
+        settled = e
+        above = settled.select(F.col("a").alias("b"), F.col("b").alias("above"))
+        e = settled.join(above, "b", "left").select("a", F.coalesce("above", "b").alias("b"))
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

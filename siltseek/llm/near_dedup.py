@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltseek.llm import bytescan
-from siltseek.llm.components import components
+from siltseek.llm.components import components, forest
 from siltseek.llm.scratch import scratch
 
 SKETCHES, ROWS = 10, 3
@@ -114,24 +114,6 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a[fresh], b[fresh], by[new]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one task, contracted to (root, node)."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    away = label != np.arange(len(nodes))
-    return nodes[label[away]], nodes[away]
-
-
 def _links_batch(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
     one = np.array([len(a)])
     return [bytescan.list_column(a, one, pa.int64()), bytescan.list_column(b, one, pa.int64())]
@@ -150,7 +132,7 @@ def _tables(sketches: int, buckets: int, contract: bool):
             owner = np.tile(np.arange(len(nodes)), sketches * sketches)
             a, b, first = _stars(keys, nodes[owner])
             if len(a):
-                a, b = _forest(a, b) if contract else (a, b)
+                a, b = forest(a, b) if contract else (a, b)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 3, *_links_batch(a, b)], schema=_TABLE_SCHEMA)
             keys, owner = keys[first], owner[first]
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
@@ -180,7 +162,7 @@ def _meet(contract: bool):
         if keys:
             a, b, _ = _stars(np.concatenate(keys), np.concatenate(nodes))
             if len(a):
-                a, b = _forest(a, b) if contract else (a, b)
+                a, b = forest(a, b) if contract else (a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
