@@ -38,7 +38,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: So many links (16 bytes each) are contracted by one task; more take rounds.
+ONE_TASK = 1_000_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b) links to (node, component), the component being its smallest node.
 
     A round deals the links by their larger end and contracts each task's links
@@ -47,8 +51,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     leaves unchanged gives each node one root that is nobody's node. Links are
     dealt by their nodes, not by their roots, so a component with a third of all
     nodes is spread over all tasks. Rounds grow with the logarithm of the longest
-    path and each is cut off by a written table. Nodes without a link do not
-    appear.
+    path and each is cut off by a written table. A forest of at most ``one_task``
+    links needs no more rounds: one task of bounded memory contracts what is
+    left, with the same result. Nodes without a link do not appear.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
@@ -61,6 +66,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+        if now[0] <= one_task:
+            e = scratch(e.coalesce(1).mapInArrow(_contract, "a long, b long"), "components")
+            break
         settled = e
         above = settled.select(F.col("a").alias("b"), F.col("b").alias("above"))
         e = settled.join(above, "b", "left").select("a", F.coalesce("above", "b").alias("b"))
