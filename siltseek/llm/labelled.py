@@ -37,3 +37,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             break
         rows.append((r["text"], r["label"]))
     return pa.table({"text": pa.array([t for t, _ in rows], pa.string()), "label": pa.array([y for _, y in rows], pa.int32())})
+
+
+def training_share(labels: DataFrame, label: str) -> float:
+    """The share of label 1 among all labelled training rows."""
+    rows = labels.where(~held_out(F.col("doc_id").cast("long")) & F.col(label).isin(0, 1))
+    row = rows.agg(F.avg(F.col(label).cast("double"))).first()
+    return 0.0 if row[0] is None else float(row[0])

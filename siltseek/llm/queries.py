@@ -6,14 +6,18 @@ from siltseek.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from siltseek.llm.lm_scoring import op10_lm_scoring
 from siltseek.llm.near_dedup import op4_near_dedup
 from siltseek.llm.packing import op8_packing
+from siltseek.llm.quality import op5_quality
 from siltseek.llm.repeated_windows import op7_repeated_windows
 from siltseek.llm.sharding import op2_sharding
 from siltseek.llm.token_counts import op3_token_counts
+from siltseek.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_repeated_windows": op7_repeated_windows,
     "op8_packing": op8_packing,

@@ -18,24 +18,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltseek.llm import bytescan
 from siltseek.llm.context_tree import END, streams
-from siltseek.llm.labelled import LAST, held_out, labelled_sample
+from siltseek.llm.labelled import LAST, held_out, labelled_sample, training_share
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 BUCKETS = 1 << BITS
+PADDING = 50
+_BLOCK = 1 << 20
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, document, share) of every subword of a block's documents.
+def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """document x BUCKETS + bucket of every subword of a block's documents.
 
-    The subwords of a document share the weight 1. The n-grams of a word are
-    those of its bytes with a blank on either side.
+    The n-grams of a word are those of its bytes with a blank on either side.
     """
     stream, at = streams(data, offsets)
     padded = np.concatenate([np.array([0x20], np.uint8), np.where(stream == END, np.uint8(0x20), stream)])
     blank = padded == 0x20
     sums = bytescan.Sums(padded)
     doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    found = [np.zeros(0, np.int64)]
     for n in SIZES:
         m = len(padded) - n + 1
         if m <= 0:
@@ -44,17 +45,19 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for j in range(2, n - 1):
             inner &= ~blank[j : j + m]
         place = np.flatnonzero(inner)
-        hashes.append(sums.hashes(place, place + n))
-        places.append(place + 1)
-    place = np.concatenate(places)
-    doc = doc_of[place - 1]
-    share = 1 / np.bincount(doc, minlength=len(at) - 1)[doc]
-    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), doc, share
+        bucket = (sums.hashes(place, place + n) >> np.uint64(64 - BITS)).astype(np.int64)
+        found.append((doc_of[place] << BITS) + bucket)  # the n-gram's second byte is the stream's byte at `place`
+    return np.concatenate(found)
 
 
 @dataclass
 class Bags:
-    """Mean subword counts: one entry per distinct (document, bucket)."""
+    """The weight of each distinct subword in its document's mean.
+
+    A subword counts 1 + ln(occurrences), so that a word repeated a thousand
+    times does not drown the rest, and each document also holds ``PADDING``
+    subwords whose embedding is zero, so that few words say little.
+    """
 
     doc: np.ndarray
     bucket: np.ndarray
@@ -63,13 +66,13 @@ class Bags:
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Bags:
-        bucket, doc, share = grams(data, offsets)
-        key = doc * BUCKETS + bucket
-        by = np.argsort(key)
-        at = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])) if len(key) else by
-        key = key[by][at]
-        share = np.add.reduceat(share[by], at) if len(at) else share
-        return cls((key // BUCKETS).astype(np.int32), (key % BUCKETS).astype(np.int32), share.astype(np.float32), len(offsets) - 1)
+        key = grams(data, offsets)
+        key.sort()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+        doc, bucket = key[at] >> BITS, key[at] & (BUCKETS - 1)
+        weight = 1 + np.log(np.diff(np.append(at, len(key))))
+        total = np.bincount(doc, weight, len(offsets) - 1) + PADDING
+        return cls(doc.astype(np.int32), bucket.astype(np.int32), (weight / total[doc]).astype(np.float32), len(offsets) - 1)
 
     def times(self, per_bucket: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, self.share * per_bucket[self.bucket], self.docs)
@@ -87,25 +90,86 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of label 1 of each document of a block."""
-        bucket, doc, share = grams(data, offsets)
-        logit = np.bincount(doc, self.value[bucket] * share, len(offsets) - 1) + self.bias
+        logit = Bags.of(data, offsets).times(self.value) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def train(bags: Bags, label: np.ndarray, dim: int = DIM, rounds: int = 150, rate: float = 30.0, decay: float = 1e-4, seed: int = 1) -> Model:
+def bags_of(texts: pa.Array) -> Bags:
+    """The bags of many texts, a block at a time."""
+    parts, docs = [], 0
+    for _, data, offsets in bytescan.blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), limit=_BLOCK):
+        b = Bags.of(data, offsets)
+        parts.append((b.doc + docs, b.bucket, b.share))
+        docs += b.docs
+    return Bags(*(np.concatenate(x) for x in zip(*parts)), docs)
+
+
+#: How much of the log-odds of label 1's share enters the bias; below 1 a missed document costs more than a false alarm.
+PRIOR_WEIGHT = 0.5
+
+
+def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int = DIM, rounds: int = 150, rate: float = 300.0, momentum: float = 0.9, seed: int = 1) -> Model:
     """Joint gradient descent on embeddings, softmax weights and biases.
 
-    Classes count alike whatever their numbers; the biases are then set for the
-    classes' true shares. With one class only the score is its share.
+    The classes count alike in training; the bias is then set for a share of
+    label 1 of ``share`` (that of the sample, if not given). With one class only
+    the score is that share.
     """
-    share = label.mean() if len(label) else 0.0
-    if not 0 < share < 1:
-        return Model(np.zeros(BUCKETS), float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -13, 13)))
+    seen = float(label.mean()) if len(label) else 0.0
+    share = min(max(seen if share is None else share, 1e-6), 1 - 1e-6)
+    prior = PRIOR_WEIGHT * float(np.log(share / (1 - share)))
+    if not 0 < seen < 1:
+        return Model(np.zeros(BUCKETS, np.float32), prior)
     rng = np.random.default_rng(seed)
-    embedding, weights, bias = rng.normal(0, 0.05, (BUCKETS, dim)), rng.normal(0, 1, (dim, 2)), np.zeros(2)
+    embedding, weights, bias = rng.normal(0, 0.05, (BUCKETS, dim)), rng.normal(0, 1, (dim, 2)), 0.0
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (len(label) - label.sum()))
-    target = np.stack([1 - label, label], 1).astype(float)
-    moved = [np.zeros_like(x) for x in (embedding, weights, bias)]
-    seen = [np.zeros_like(x) for x in (embedding, weights, bias)]
-    del rate, moved, seen
-    return _descend(bags, target, weight, embedding, weights, bias, rounds, decay)
+    moving_e, moving_w = np.zeros_like(embedding), np.zeros_like(weights)
+    for _ in range(rounds):
+        # a text's logits are its mean embedding times the weights, that is the mean of embedding times weights
+        p = 1 / (1 + np.exp(-np.clip(bags.times(embedding @ (weights[:, 1] - weights[:, 0])) + bias, -60, 60)))
+        wrong = (p - label) * weight
+        by_bucket = bags.transposed(wrong)[:, None] * np.array([[-1.0, 1.0]])
+        step_e, step_w = by_bucket @ weights.T, embedding.T @ by_bucket
+        moving_e = momentum * moving_e + step_e
+        moving_w = momentum * moving_w + step_w
+        embedding -= rate * moving_e
+        weights -= 0.5 * moving_w
+        bias -= 2 * wrong.sum()
+    return Model((embedding @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias) + prior)
+
+
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in bytescan.blocks(batches, limit=_BLOCK):
+            score = model.value.score(data, offsets)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 24 << 20) -> Model:
+    """A model from at most ``per_class`` labelled training documents a class and ``max_bytes`` of text."""
+    sample = labelled_sample(docs, labels, "toxic", per_class, max_bytes)
+    if not sample.num_rows:
+        return train(Bags(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), 0), np.zeros(0))
+    share = training_share(labels, "toxic")
+    return train(bags_of(sample.column("text").combine_chunks()), sample.column("label").to_numpy(), share)
+
+
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
+
+    A null or empty text has no subwords and gets the score of the bias alone; a
+    null id counts as not held out; repeated rows are scored alike; an empty
+    table gives an empty result; other columns are not read.
+    """
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(id_, F.lit(LAST)).alias("doc_id"), held_out(id_).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
+    return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
+
+
+def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
