@@ -108,12 +108,12 @@ def bags_of(texts: pa.Array) -> Bags:
 PRIOR_WEIGHT = 0.5
 
 
-def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int = DIM, rounds: int = 150, rate: float = 300.0, momentum: float = 0.9, seed: int = 1) -> Model:
+def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int = DIM, rounds: int = 500, enough: float = 0.015, rate: float = 300.0, momentum: float = 0.9, seed: int = 1) -> Model:
     """Joint gradient descent on embeddings, softmax weights and biases.
 
     The classes count alike in training; the bias is then set for a share of
     label 1 of ``share`` (that of the sample, if not given). With one class only
-    the score is that share.
+    the score is that share. Training stops at a mean loss of ``enough``.
     """
     seen = float(label.mean()) if len(label) else 0.0
     share = min(max(seen if share is None else share, 1e-6), 1 - 1e-6)
@@ -127,6 +127,9 @@ def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int =
     for _ in range(rounds):
         # a text's logits are its mean embedding times the weights, that is the mean of embedding times weights
         p = 1 / (1 + np.exp(-np.clip(bags.times(embedding @ (weights[:, 1] - weights[:, 0])) + bias, -60, 60)))
+        loss = -(weight * np.log(np.where(label == 1, p, 1 - p) + 1e-12)).sum()
+        if loss < enough:
+            break
         wrong = (p - label) * weight
         by_bucket = bags.transposed(wrong)[:, None] * np.array([[-1.0, 1.0]])
         step_e, step_w = by_bucket @ weights.T, embedding.T @ by_bucket
