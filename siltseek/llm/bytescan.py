@@ -98,9 +98,9 @@ class Sums:
         return mixed((self._sums[width:] - self._sums[:n]) * self._down[:n])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each white-space separated word of a block."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each run of bytes that aren't ``blank``, of a block."""
+    inside = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()

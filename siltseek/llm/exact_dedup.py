@@ -71,6 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(known, ["run", *KEY]).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns."""
+    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.unhex(F.sha2(normalised(F.col(text_col)), 256)) == F.col("_sha"))
+    return docs.join(gone, same, "left_anti")
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -1,10 +1,10 @@
 """MinHash near-dedup with tensored banding, every link verified on full sets.
 
-A document's set is its distinct word shingles. ``SKETCHES`` left and as many
-right sketches of ``ROWS`` minhashes each make SKETCHES^2 table keys (left i
-with right j), so the tables need 2 x SKETCHES x ROWS minhashes instead of
-2 x SKETCHES^2 x ROWS. A pair at similarity s meets unless all left or all right
-sketches differ: at s = 0.85 a loss of 1.5e-4, at 0.9 of 4e-6 per pair.
+A document's set is its distinct word shingles. m left and m right sketches of
+``ROWS`` minhashes each make m^2 table keys (left i with right j), so the tables
+need 2 m ROWS minhashes instead of 2 m^2 ROWS. A pair at similarity s meets
+unless all left or all right sketches differ, which 2 (1 - s^ROWS)^m bounds: with
+m = 10 at s = 0.85 a loss of 1.5e-4, at 0.9 of 4e-6 per pair.
 
 1. Texts become (set size, set digest, sketches); equal sets are one *node*.
 2. Nodes that share a table key are joined to the key's smallest node; the
@@ -18,6 +18,7 @@ sketches differ: at s = 0.85 a loss of 1.5e-4, at 0.9 of 4e-6 per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from siltseek.llm import bytescan
 from siltseek.llm.components import components, forest
 from siltseek.llm.scratch import scratch
 
-SKETCHES, ROWS = 10, 3
+ROWS = 3
+#: The likeliest loss of a pair just at the threshold; it sets the number of sketches.
+LOSS = 2e-4
 #: A group is clustered in one task up to so many nodes and shingles.
 GROUP_NODES, GROUP_SHINGLES = 1000, 2_000_000
 _LAST = (1 << 63) - 1
@@ -320,7 +323,13 @@ def _cluster_large(nodes: DataFrame, members: DataFrame, sketches: int, percent:
     return links.unionByName(pairs.mapInArrow(_cross(percent), "a long, b long"))
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, rows: int = ROWS, group_nodes: int = GROUP_NODES) -> DataFrame:
+def sketches_for(percent: int, rows: int = ROWS) -> int:
+    """How many sketches a side keep a pair at the threshold with a loss of ``LOSS`` at most."""
+    differ = 1 - (percent / 100) ** rows
+    return max(2, math.ceil(math.log(LOSS / 2) / math.log(differ))) if differ > 0 else 2
+
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, group_nodes: int = GROUP_NODES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 x |intersection| >= percent x |union| of their
@@ -331,7 +340,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     an id and text are in one component and all kept or dropped. An empty table
     gives an empty result; other columns are not read.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _near_dedup(docs, words, percent, id_col, text_col, rows, group_nodes).drop("key")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that are not their component's smallest id; all columns stay."""
+    gone = _near_dedup(docs, words, percent, id_col, text_col, ROWS, GROUP_NODES).where("NOT kept").select(F.col("key").alias("_key"))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(gone, key == F.col("_key"), "left_anti")
+
+
+def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, rows: int, group_nodes: int) -> DataFrame:
+    n, sketches = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sketches_for(percent, rows)
     id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(id_, F.lit(_LAST)).alias("doc_id"), F.xxhash64(id_, text).alias("key"), text.alias("text"))
     seen = scratch(base.mapInArrow(_describe(words, sketches, rows), "doc_id long, key long, n_shingles long, d1 long, d2 long, sketch binary"), "described")
@@ -357,7 +377,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     placed = scratch(placed.join(ids, "root").select(*[F.col(c).alias(f"_{c}") for c in same], "component_id"), "placed")
     match = [seen[c] == placed[f"_{c}"] for c in same]
     done = seen.join(placed, match, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return done.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_LAST)).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return done.select("key", F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_LAST)).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

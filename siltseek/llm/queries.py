@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siltseek.llm.decontamination import OP9_SQL, op9_decontamination
 from siltseek.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from siltseek.llm.lm_scoring import op10_lm_scoring
 from siltseek.llm.near_dedup import op4_near_dedup
@@ -21,8 +22,10 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_repeated_windows": op7_repeated_windows,
     "op8_packing": op8_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op9_decontamination": OP9_SQL,
 }

@@ -173,6 +173,24 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
+def _clean(model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            named = pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], ["text", "row"])
+            toxic = np.zeros(batch.num_rows, bool)
+            for rows, data, offsets in bytescan.blocks(iter([named]), limit=_BLOCK):
+                toxic[rows.column(1).to_numpy()] = model.value.score(data, offsets) >= 0.5
+            yield batch.filter(pa.array(~toxic))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents the model does not reject, with all their columns."""
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
