@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from siltseek.llm import bytescan
 
 WORDS, SHARE = 5, 0.8
-K1, B, ITEM_BLOCK = 1.2, 0.75, 16
+K1, B = 1.2, 0.75
+#: Items in a block at least, and blocks at most.
+ITEM_BLOCK, BLOCKS = 4, 64
 #: Items are indexed and broadcast in groups of at most so much text.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 _LAST = (1 << 63) - 1
 #: Everything but ASCII letters and digits and the bytes of other characters parts words.
 _BLANK = np.ones(256, bool)
@@ -65,6 +67,7 @@ class Index:
     most: np.ndarray  # largest impact by term
     block_most: np.ndarray  # by term and item block
     block_least: np.ndarray
+    block: int  # items in a block
     reach: int  # words of the longest item
 
 
@@ -83,6 +86,7 @@ def build_index(ids: list[int], questions: list[str | None], answers: list[str |
             kept.append((id_, hashes, n_q if len(hashes) > n_q else -1))
     if not kept:
         return None
+    kept.sort(key=lambda k: (len(k[1]), k[0]))  # a block's items have thresholds alike
     n = len(kept)
     sizes = np.array([min(words, len(h)) for _, h, _ in kept])
     shingles = [shingled(h, s) for (_, h, _), s in zip(kept, sizes)]
@@ -103,11 +107,12 @@ def build_index(ids: list[int], questions: list[str | None], answers: list[str |
         own = impact[by[at[i] : at[i + 1]]]
         least[i] = own[: max(0, len(own) - int((1 - share) * counts[i] + 1e-9))].sum()
     first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-    blocks = -(-n // ITEM_BLOCK)
+    block = max(ITEM_BLOCK, -(-n // BLOCKS))
+    blocks = -(-n // block)
     block_most = np.zeros((len(vocabulary), blocks), np.float32)
-    np.maximum.at(block_most, (term, item // ITEM_BLOCK), impact.astype(np.float32) * np.float32(1 + 1e-6))
-    block_least = np.minimum.reduceat(least, np.arange(0, n, ITEM_BLOCK))
-    return Index(np.array([k[0] for k in kept]), shingles, sizes, question, vocabulary, first, item, impact, least, block_most.max(1).astype(float), block_most, block_least, int(lengths.max()))
+    np.maximum.at(block_most, (term, item // block), impact.astype(np.float32) * np.float32(1 + 1e-6))
+    block_least = np.minimum.reduceat(least, np.arange(0, n, block))
+    return Index(np.array([k[0] for k in kept]), shingles, sizes, question, vocabulary, first, item, impact, least, block_most.max(1).astype(float), block_most, block_least, block, int(lengths.max()))
 
 
 def find(index: Index, data: np.ndarray, offsets: np.ndarray, share: float = SHARE) -> list[tuple[int, int, int]]:
@@ -131,34 +136,45 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray, share: float = SHA
     pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     passage, term = pair // size, pair % size
     bound = np.bincount(passage, index.most[term], int(passages.sum()))
+    live = bound >= index.least.min() * (1 - 1e-9)
+    hopeful = live[passage]
+    passage, term = passage[hopeful], term[hopeful]
+    at = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else passage
+    ends = np.append(at[1:], len(passage))
     best: dict[tuple[int, int], int] = {}
-    for p in np.flatnonzero(bound >= index.least.min() * (1 - 1e-9)):
-        terms = term[np.searchsorted(passage, p) : np.searchsorted(passage, p, side="right")]
-        blocks = np.flatnonzero(index.block_most[terms].sum(0, dtype=float) >= index.block_least * (1 - 1e-6))
-        if not len(blocks):
-            continue
-        at = np.concatenate([np.arange(a, b) for a, b in zip(index.first[terms], index.first[terms + 1])])
-        at = at[np.isin(index.item[at] // ITEM_BLOCK, blocks)]
-        score = np.bincount(index.item[at], index.impact[at], len(index.ids))
-        held: dict[int, np.ndarray] = {}
-        d = int(np.searchsorted(base + passages, p, side="right"))
-        start = first[d] + (p - base[d]) * stride
-        words = hashes[start : min(start + 2 * stride, first[d] + n[d])]
-        for i in np.flatnonzero((score > 0) & (score >= index.least * (1 - 1e-9)) & np.isin(np.arange(len(score)) // ITEM_BLOCK, blocks)):
-            size_i = int(index.sizes[i])
-            if size_i not in held:
-                held[size_i] = np.sort(shingled(words, size_i))
-            there = held[size_i]
-            if not len(there):
-                continue
-            own = index.shingles[i]
-            hit = there[np.minimum(np.searchsorted(there, own), len(there) - 1)] == own
-            q = int(index.question[i])
-            if hit.sum() >= share * len(own) - 1e-9 and 2 * hit[:q].sum() >= q and 2 * hit[q:].sum() >= len(own) - q:
-                best[d, i] = max(best.get((d, i), 0), int(hit.sum()))
+    for lo in range(0, len(at), 4096):  # the block maxima of some thousand passages at a time
+        part = slice(lo, min(lo + 4096, len(at)))
+        rows = index.block_most[term[at[part][0] : ends[part][-1]]]
+        reach = np.add.reduceat(rows, at[part] - at[part][0], axis=0) >= index.block_least * (1 - 1e-5)
+        for i in np.flatnonzero(reach.any(1)):
+            _verify(index, passage[at[lo + i]], term[at[lo + i] : ends[lo + i]], reach[i], hashes, first, n, base, passages, share, best)
     return [(d, i, m) for (d, i), m in best.items()]
 
 
+def _verify(index: Index, p: int, terms: np.ndarray, blocks: np.ndarray, hashes: np.ndarray, first: np.ndarray, n: np.ndarray, base: np.ndarray, passages: np.ndarray, share: float, best: dict[tuple[int, int], int]) -> None:
+    """Scores a passage against the items of ``blocks`` and verifies those at their threshold."""
+    stride = index.reach
+    postings = np.concatenate([np.arange(a, b) for a, b in zip(index.first[terms], index.first[terms + 1])])
+    item = index.item[postings]
+    inside = blocks[item // index.block]
+    score = np.bincount(item[inside], index.impact[postings[inside]], len(index.ids))
+    found = np.flatnonzero((score > 0) & (score >= index.least * (1 - 1e-9)))
+    if not len(found):
+        return
+    d = int(np.searchsorted(base + passages, p, side="right"))
+    start = first[d] + (p - base[d]) * stride
+    words = hashes[start : min(start + 2 * stride, first[d] + n[d])]
+    for i in found:
+        there = np.sort(shingled(words, int(index.sizes[i])))
+        if not len(there):
+            continue
+        own = index.shingles[i]
+        hit = there[np.minimum(np.searchsorted(there, own), len(there) - 1)] == own
+        q = int(index.question[i])
+        if hit.sum() >= share * len(own) - 1e-9 and 2 * hit[:q].sum() >= q and 2 * hit[q:].sum() >= len(own) - q:
+            best[d, i] = max(best.get((d, i), 0), int(hit.sum()))
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
