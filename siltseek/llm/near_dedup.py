@@ -33,7 +33,9 @@ ROWS = 3
 #: The likeliest loss of a pair just at the threshold; it sets the number of sketches.
 LOSS = 2e-4
 #: A group is clustered in one task up to so many nodes and shingles.
-GROUP_NODES, GROUP_SHINGLES = 1000, 2_000_000
+GROUP_NODES, GROUP_SHINGLES = 1000, 800_000
+#: In larger groups so many nodes outside the main cluster (or shingles of theirs) meet so many others at a time.
+BLOCK_NODES, BLOCK_SHINGLES, PART_NODES, PART_SHINGLES = 256, 200_000, 1024, 400_000
 _LAST = (1 << 63) - 1
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,15 +200,17 @@ def intersections(rows: list[np.ndarray], columns: list[np.ndarray] | None = Non
     left, right = len(rows), len(columns or ())
     sets = [*rows, *(columns or ())]
     token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    by = np.argsort(token, kind="stable")
-    token, owner = token[by], owner[by]
+    by = np.argsort(token)
+    token = token[by]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[by]
+    del by
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
-    alone = new.copy()
-    alone[:-1] &= new[1:]
-    token, owner, new = token[~alone], owner[~alone], new[~alone]
-    at = np.cumsum(new) - 1
+    del token
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    owner, new = owner[shared], new[shared]
+    at = np.cumsum(new, dtype=np.int32) - 1
     out = np.zeros((left, right or left), np.float32)
     step = max(1, room // len(sets))
     edges = np.searchsorted(at, np.arange(0, (at[-1] if len(at) else -1) + step + 1, step))
@@ -310,12 +314,15 @@ def _cluster_large(nodes: DataFrame, members: DataFrame, sketches: int, percent:
     first = met.join(sets.withColumnRenamed("node", "b"), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("other")), "a")
     links = scratch(first.select("a", "b", "set", "other").mapInArrow(_verify(percent), "a long, b long"), "hub_links")
     part_of = components(links).withColumnRenamed("component", "part_of")
-    labelled = members.select("component", "node").join(part_of, "node", "left").withColumn("part_of", F.coalesce("part_of", "node"))
+    labelled = members.select("component", "node").join(nodes.select("node", "n_shingles"), "node").join(part_of, "node", "left").withColumn("part_of", F.coalesce("part_of", "node"))
     labelled = scratch(labelled, "labelled")
-    size = labelled.groupBy("component", "part_of").agg(F.count(F.lit(1)).alias("m"))
-    main = size.groupBy("component").agg(F.max_by("part_of", F.struct("m", "part_of")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"))
-    main = main.where("most < all").select("component", "main", F.ceil(F.col("all") / 1024).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("most")) / 256).cast("int").alias("blocks"))
-    rows = labelled.join(main, "component").join(sets, "node")
+    size = labelled.groupBy("component", "part_of").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    largest = F.struct("m", "part_of", "s")
+    main = size.groupBy("component").agg(F.max(largest).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    parts = F.greatest(F.ceil(F.col("m") / PART_NODES), F.ceil(F.col("s") / PART_SHINGLES))
+    blocks = F.greatest(F.ceil((F.col("m") - F.col("main.m")) / BLOCK_NODES), F.ceil((F.col("s") - F.col("main.s")) / BLOCK_SHINGLES))
+    main = main.where("main.m < m").select("component", F.col("main.part_of").alias("main"), parts.cast("int").alias("parts"), blocks.cast("int").alias("blocks"))
+    rows = labelled.drop("n_shingles").join(main, "component").join(sets, "node")
     outside = rows.where("part_of <> main").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     every = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     shape = lambda df, o: df.select("component", "part", "block", F.lit(o).alias("outside"), "node", "part_of", "set")
