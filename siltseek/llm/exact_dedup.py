@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltseek.llm.scratch import scratch
+from siltseek.llm.scratch import free_name, scratch
 
 #: Runs of the six ASCII white-space characters, but for a lone space (which its replacement leaves as it is).
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -73,8 +73,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.unhex(F.sha2(normalised(F.col(text_col)), 256)) == F.col("_sha"))
+    id_, sha = free_name(docs, "gone_id"), free_name(docs, "gone_sha")
+    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(sha))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.unhex(F.sha2(normalised(F.col(text_col)), 256)) == F.col(sha))
     return docs.join(gone, same, "left_anti")
 
 

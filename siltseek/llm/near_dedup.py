@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltseek.llm import bytescan
-from siltseek.llm.components import components, forest
-from siltseek.llm.scratch import scratch
+from siltseek.llm.components import components, dealt, forest
+from siltseek.llm.scratch import free_name, scratch
 
 ROWS = 3
 #: The likeliest loss of a pair just at the threshold; it sets the number of sketches.
@@ -99,8 +99,8 @@ def _describe(size: int, sketches: int, rows: int):
     return run
 
 
-_TABLE = "bucket int, keys binary, refs binary, nodes binary, a array<long>, b array<long>"
-_TABLE_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+_TABLE = "bucket int, keys binary, refs binary, nodes binary, dest int, a array<long>, b array<long>"
+_TABLE_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary()), ("dest", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,12 +119,7 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a[fresh], b[fresh], by[new]
 
 
-def _links_batch(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
-    one = np.array([len(a)])
-    return [bytescan.list_column(a, one, pa.int64()), bytescan.list_column(b, one, pa.int64())]
-
-
-def _tables(sketches: int, buckets: int, contract: bool):
+def _tables(sketches: int, buckets: int, tasks: int, contract: bool):
     """mapInArrow: (node, sketch) to the tables' entries by bucket, each key once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +133,9 @@ def _tables(sketches: int, buckets: int, contract: bool):
             a, b, first = _stars(keys, nodes[owner])
             if len(a):
                 a, b = forest(a, b) if contract else (a, b)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 3, *_links_batch(a, b)], schema=_TABLE_SCHEMA)
+                links = dealt(a, b, tasks)
+                n = len(links[0])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, *links], schema=_TABLE_SCHEMA)
             keys, owner = keys[first], owner[first]
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
@@ -148,13 +145,13 @@ def _tables(sketches: int, buckets: int, contract: bool):
                 for column, value in zip(out, (bucket[part[0]], keys[part].tobytes(), ref.astype("<u2" if len(nodes) < 65536 else "<u4").tobytes(), nodes[used].tobytes())):
                     column.append(value)
             n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]], *[pa.nulls(n, pa.list_(pa.int64()))] * 2], schema=_TABLE_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2], schema=_TABLE_SCHEMA)
 
     return run
 
 
-def _meet(contract: bool):
-    """mapInArrow over a partition of table entries: links (a, b)."""
+def _meet(tasks: int, contract: bool):
+    """mapInArrow over a partition of table entries: links, packed by the task that is to have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [], []
@@ -168,18 +165,18 @@ def _meet(contract: bool):
             a, b, _ = _stars(np.concatenate(keys), np.concatenate(nodes))
             if len(a):
                 a, b = forest(a, b) if contract else (a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(list(dealt(a, b, tasks)), ["dest", "a", "b"])
 
     return run
 
 
 def _met(nodes: DataFrame, sketches: int, contract: bool) -> DataFrame:
-    """(node, sketch) to links (a, b) of nodes that share a table key."""
+    """(node, sketch) to links of nodes that share a table key, packed as (dest, a list, b list)."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = scratch(nodes.select("node", "sketch").mapInArrow(_tables(sketches, 4 * n, contract), _TABLE), "tables")
-    here = entries.where("a IS NOT NULL").select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
+    entries = scratch(nodes.select("node", "sketch").mapInArrow(_tables(sketches, 4 * n, n, contract), _TABLE), "tables")
+    here = entries.where("a IS NOT NULL").select("dest", "a", "b")
     there = entries.where("a IS NULL").select("bucket", "keys", "refs", "nodes").repartition(n, "bucket")
-    return here.unionByName(there.mapInArrow(_meet(contract), "a long, b long"))
+    return here.unionByName(there.mapInArrow(_meet(n, contract), "dest int, a array<long>, b array<long>"))
 
 
 def _sets(size: int, carry: list[str]):
@@ -310,7 +307,8 @@ def _cross(percent: int):
 def _cluster_large(nodes: DataFrame, members: DataFrame, sketches: int, percent: int, n: int) -> DataFrame:
     """Links within groups too large for a task; ``members`` is (component, node, set)."""
     sets = members.select("node", "set")
-    met = _met(nodes.join(members.select("node"), "node"), sketches, contract=False).distinct()
+    met = _met(nodes.join(members.select("node"), "node"), sketches, contract=False)
+    met = met.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").distinct()
     first = met.join(sets.withColumnRenamed("node", "b"), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("other")), "a")
     links = scratch(first.select("a", "b", "set", "other").mapInArrow(_verify(percent), "a long, b long"), "hub_links")
     part_of = components(links).withColumnRenamed("component", "part_of")
@@ -352,9 +350,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are not their component's smallest id; all columns stay."""
-    gone = _near_dedup(docs, words, percent, id_col, text_col, ROWS, GROUP_NODES).where("NOT kept").select(F.col("key").alias("_key"))
+    name = free_name(docs, "gone_key")
+    gone = _near_dedup(docs, words, percent, id_col, text_col, ROWS, GROUP_NODES).where("NOT kept").select(F.col("key").alias(name))
     key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(gone, key == F.col("_key"), "left_anti")
+    return docs.join(gone, key == F.col(name), "left_anti")
 
 
 def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, rows: int, group_nodes: int) -> DataFrame:

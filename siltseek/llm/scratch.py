@@ -45,3 +45,11 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     finally:
         spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
