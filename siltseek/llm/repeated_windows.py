@@ -94,13 +94,18 @@ def sliced_spans(data: np.ndarray, offsets: np.ndarray, width: int, limit: int =
     return {c: np.concatenate([s[c] for s in found]) for c in _ENTRY}
 
 
-def _first_of_equals(columns: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows sorted by columns then order, whether each is the first of its equals)."""
+def _first_of_equals(columns: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows sorted by columns then order, which are the first of their equals, which come later).
+
+    A row at the very place of the first (a document listed twice) is neither.
+    """
     by = np.lexsort([*order[::-1], *columns[::-1]])
     new = np.ones(len(by), bool)
     if len(by):
         new[1:] = np.any([c[by][1:] != c[by][:-1] for c in columns], axis=0)
-    return by, new
+    head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    again = np.any([c[by] != c[by][head] for c in order], axis=0) if len(by) else new
+    return by, new, again
 
 
 def _interval_rows(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
@@ -130,9 +135,8 @@ def _deal_spans(buckets: int, width: int):
                 continue
             doc_ids, keys = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             s["at"] = s["at"] - offsets[s["doc"]]
-            by, first = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [doc_ids[s["doc"]], keys[s["doc"]], s["at"]])
+            by, first, again = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [doc_ids[s["doc"]], keys[s["doc"]], s["at"]])
             s = {c: v[by] for c, v in s.items()}
-            again = ~first
             if again.any():
                 found = _interval_rows(keys[s["doc"][again]], s["at"][again], s["at"][again] + s["more"][again] + width)
                 n = len(found["key"])
@@ -181,9 +185,8 @@ def _meet_by_gram(width: int, spread: int):
         twin[1:] = h[1:] == h[:-1]
         twin[:-1] |= twin[1:]
         s = {c: v[by[twin]] for c, v in s.items()}
-        by, first = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [s["doc_id"], s["key"], s["at"]])
+        by, first, again = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [s["doc_id"], s["key"], s["at"]])
         s = {c: v[by] for c, v in s.items()}
-        again = ~first
         gone = _interval_rows(s["key"][again], s["at"][again], s["at"][again] + s["more"][again] + width)
         n = len(gone["key"])
         yield pa.RecordBatch.from_arrays([gone["key"], gone["starts"], gone["ends"], *[pa.nulls(n, schema.field(c).type) for c in schema.names[3:]]], schema=schema)
@@ -277,8 +280,8 @@ def _sort_windows(width: int):
         same = bytescan.mixed(route.view(np.uint64)[span] ^ bytescan.mixed((phase[span] + step).astype(np.uint64)))
         live, group = radix_groups(buffer, base[span] + step, same, width)
         span, start = span[live], (at[span] + step)[live]
-        by, first = _first_of_equals([group], [doc_id[span], key[span], start])
-        again = by[~first]
+        by, _, later = _first_of_equals([group], [doc_id[span], key[span], start])
+        again = by[later]
         found = _interval_rows(key[span[again]], start[again], start[again] + width)
         yield pa.RecordBatch.from_arrays([found["key"], found["starts"], found["ends"]], ["key", "starts", "ends"])
 
