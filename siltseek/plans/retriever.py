@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltseek.functions import text as T, topics
-from siltseek.operators import dense, fusion, lexical
+from siltseek.functions.lexicon import TOPIC_NAMES
+from siltseek.operators import blocks, dense, fusion, lexical
 from siltseek.sources.config import PipelineConfig
 
 _PARTS = ("docs", "vectors", "postings", "stats", "topics")
@@ -22,6 +26,12 @@ class CodeIndex:
     postings: DataFrame
     stats: DataFrame
     topics: DataFrame
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what ``build_index`` keeps in memory or on disk; the index still works."""
+        for df in self.kept:
+            df.unpersist()
 
     def save(self, path: str) -> None:
         """Tables below ``path``; postings lie together by term for the search's join."""
@@ -64,10 +74,11 @@ class HybridRetriever:
 
     def build_index(self, docs: DataFrame) -> CodeIndex:
         cfg = self.config
-        terms = docs.select("doc_id", T.code_terms("text").alias("terms"))
+        terms = docs.select("doc_id", T.code_terms("text").alias("terms")).persist()
         built = lexical.build(terms, cfg.bm25_k1, cfg.bm25_b)
         tagged = docs.select("doc_id", topics.code_topics(F.col("text")).alias("topics"))
-        return CodeIndex(docs.select("doc_id", "text"), self.embedder.embed(self.document_texts(docs), "doc"), built.postings, built.stats, tagged)
+        vectors = self.embedder.embed(self.document_texts(docs), "doc")
+        return CodeIndex(docs.select("doc_id", "text"), vectors.persist(), built.postings.persist(), built.stats, tagged, [terms, vectors, built.postings])
 
     def _query_vectors(self, views: DataFrame) -> DataFrame:
         """One vector a question: both views' vectors, weighted (a dot product is linear)."""
@@ -110,11 +121,52 @@ class HybridRetriever:
             pairs = pairs if name in pairs.columns else pairs.withColumn(name, F.lit(0.0))
         return pairs
 
+    def _blocks(self, index: CodeIndex, queries: DataFrame) -> Iterator[tuple[blocks.Questions, DataFrame]]:
+        """Blocks of questions with the documents' rows for them."""
+        cfg, sparse = self.config, "bucket" in index.vectors.columns
+        ids = [r["qid"] for r in queries.select("qid").distinct().orderBy("qid").collect()]
+        if not ids:
+            return
+        vectors = self._query_vectors(self.query_texts(queries))
+        packed = F.collect_list(F.struct("bucket", "value"))
+        vectors = vectors.groupBy("id").agg(packed.alias("v")) if sparse else vectors.select("id", F.col("vector").alias("v"))
+        asked = {r["id"]: r["v"] for r in vectors.collect()}
+        tags = {r["qid"]: r["t"] for r in queries.select("qid", topics.query_topics(F.col("text")).alias("t")).collect()}
+        terms = queries.select("qid", T.query_terms(T.query_views("text")["full"]).alias("terms"))
+        docs = index.docs.select("doc_id")
+        if sparse:
+            entry = F.sort_array(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "value")))
+            own = index.vectors.groupBy("id").agg(entry.alias("v")).select(F.col("id").alias("doc_id"), F.col("v.bucket").alias("places"), F.col("v.value").alias("numbers"))
+        else:
+            own = index.vectors.select(F.col("id").alias("doc_id"), F.transform("vector", lambda x: x.cast("double")).alias("numbers"))
+        docs = docs.join(own, "doc_id", "left")
+        if cfg.topic_weight:
+            docs = docs.join(index.topics.select("doc_id", dense.l2(F.col("topics")).alias("topics")), "doc_id", "left")
+        width = getattr(self.embedder, "dim", None) or max((len(v) for v in asked.values()), default=1)
+        for i in range(0, len(ids), blocks.QUESTIONS):
+            part = ids[i : i + blocks.QUESTIONS]
+            matrix, tagged = np.zeros((len(part), width)), np.zeros((len(part), len(TOPIC_NAMES)))
+            for row, qid in enumerate(part):
+                for j, x in [(e["bucket"], e["value"]) for e in asked.get(qid, [])] if sparse else enumerate(asked.get(qid, [])):
+                    matrix[row, j] = x
+                length = np.linalg.norm(tags[qid])
+                tagged[row] = np.array(tags[qid]) / (length or 1)
+            rows = docs
+            if cfg.bm25_weight:
+                numbered = F.broadcast(queries.sparkSession.createDataFrame(list(enumerate(part)), ["q", "qid"]))  # a block of questions
+                words = lexical.scores(lexical.LexicalIndex(index.postings, index.stats), terms.join(numbered, "qid").select(F.col("q").alias("qid"), "terms"))
+                entry = F.collect_list(F.struct("qid", "bm25"))
+                rows = docs.join(words.groupBy("doc_id").agg(entry.alias("m")).select("doc_id", F.col("m.qid").alias("asked"), F.col("m.bm25").alias("matched")), "doc_id", "left")
+            rows = rows.persist()  # read by both passes
+            index.kept.append(rows)
+            yield blocks.Questions(part, matrix, tagged, (1.0, cfg.bm25_weight, cfg.topic_weight)), rows
+
     def search(self, index: CodeIndex, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(qid, rank, doc_id, score), best first."""
         cfg = self.config
         if cfg.fusion != "rrf":
-            return fusion.sparse_zscore_top_k(self.scorers(index, queries), queries, index.docs, top_k)
+            found = [blocks.zscore_top_k(block, rows, top_k) for block, rows in self._blocks(index, queries)]
+            return reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, doc_id {index.docs.schema['doc_id'].dataType.simpleString()}, score double")
         weights = {"dense": 1.0, "bm25": cfg.bm25_weight, "topic": cfg.topic_weight}
         ranked = fusion.rank_scored(self.all_scores(index, queries), [c for c, w in weights.items() if w], cfg.rrf_k)
         scored = ranked.select("qid", "doc_id", fusion.weighted({f"r_{c}": w for c, w in weights.items()}).alias("score"))
