@@ -123,6 +123,7 @@ class CachedEmbedder:
 
     def __init__(self, embedder: Embedder, cache: EmbeddingCache) -> None:
         self.embedder, self.cache, self.name = embedder, cache, embedder.name
+        self.dim = getattr(embedder, "dim", None)
         self.hits = self.misses = 0
 
     def embed(self, df: DataFrame, kind: str) -> DataFrame:
@@ -135,13 +136,23 @@ class CachedEmbedder:
             if "bucket" in encoded.columns:
                 encoded = todo.select("k").join(encoded.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("vector")), "k", "left")
             self.cache.put(encoded)
-        return keyed.select("id", "k").join(self.cache.read(), "k").drop("k")
+        found = keyed.select("id", "k").join(self.cache.read(), "k").drop("k")
+        if found.schema["vector"].dataType.typeName() == "map":  # sparse vectors are kept as one row a text
+            return found.select("id", F.explode("vector").alias("bucket", "value"))
+        return found
+
+
+def build_cached(spark: SparkSession, preset: str, path: str, **overrides) -> CachedEmbedder:
+    """An encoder with its cache in a Parquet folder."""
+    embedder = build_embedder(preset, **overrides)
+    sparse = isinstance(embedder, HashingEmbedder)
+    return CachedEmbedder(embedder, EmbeddingCache(spark, path, "vector map<bigint,double>" if sparse else "vector array<float>"))
 
 
 def pair_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc_id, dense) of all pairs of (qid, vector) and (doc_id, vector), in codegen-free JVM code."""
     q = queries.select("qid", F.col("vector").alias("_q"))
-    return docs.crossJoin(F.broadcast(q)).select("qid", "doc_id", dot(F.col("_q"), F.col("vector")).alias("dense"))
+    return docs.crossJoin(broadcast_if_small(q)).select("qid", "doc_id", dot(F.col("_q"), F.col("vector")).alias("dense"))
 
 
 def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -137,12 +137,37 @@ def test_block_topk_and_moments(spark, sf):
 
 
 def test_cache_encodes_once(spark, tmp_path):
-    cache = dense.EmbeddingCache(spark, str(tmp_path / "c"), "vector map<bigint,double>")
-    e = dense.CachedEmbedder(dense.HashingEmbedder(), cache)
+    e = dense.build_cached(spark, "hashing", str(tmp_path / "c"))
     df = spark.createDataFrame([("1", "foo bar"), ("2", "foo bar"), ("3", "baz")], "id string, text string")
-    assert e.embed(df, "doc").count() == 3 and (e.misses, e.hits) == (2, 1)
-    assert e.embed(df, "doc").count() == 3 and (e.misses, e.hits) == (2, 4)
-    assert e.embed(df, "query_full").count() == 3 and e.misses == 4
+    ids = lambda x: {r.id for r in x.collect()}
+    assert ids(e.embed(df, "doc")) == {"1", "2", "3"} and (e.misses, e.hits) == (2, 1)
+    assert ids(e.embed(df, "doc")) == {"1", "2", "3"} and (e.misses, e.hits) == (2, 4)
+    assert ids(e.embed(df, "query_full")) == {"1", "2", "3"} and e.misses == 4
+    again = dense.build_cached(spark, "hashing", str(tmp_path / "c"))
+    assert ids(again.embed(df, "doc")) == {"1", "2", "3"} and again.misses == 0
+
+
+def test_cached_search_equals_plain_search(spark, tmp_path):
+    cfg = PipelineConfig(model="hashing")
+    runs = []
+    for r in (HybridRetriever(cfg), HybridRetriever(cfg, dense.build_cached(spark, "hashing", str(tmp_path / "c")))):
+        runs.append([(x.qid, x.doc_id, round(x.score, 9)) for x in r.search(r.build_index(docs(spark)), asked(spark), 3).orderBy("qid", "rank").collect()])
+    assert runs[0] == runs[1]
+
+
+def test_array_vectors(spark):
+    """The retriever over vectors that a table has."""
+    rng = np.random.default_rng(3)
+    table = [(k, rng.normal(size=8).tolist()) for k in SNIPPETS]
+    vectors = spark.createDataFrame(table, "id string, vector array<double>")
+    r = HybridRetriever(PipelineConfig(bm25_weight=0.0, topic_weight=0.0), dense.ColumnEmbedder(vectors))
+    q = spark.createDataFrame([(k, "x") for k in SNIPPETS], "qid string, text string")
+    run = r.search(r.build_index(docs(spark)), q, 6).collect()
+    m = np.array([v for _, v in table])
+    x = m @ m.T
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    at = {k: i for i, (k, _) in enumerate(table)}
+    assert len(run) == 36 and all(abs(z[at[r.qid], at[r.doc_id]] - r.score) < 1e-9 for r in run)
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -150,11 +175,10 @@ def test_stream_ingest(spark, tmp_path):
 
     for i in range(2):
         spark.createDataFrame([(f"{i}", "same text"), (f"x{i}", f"text number{i}")], "id string, text string").write.parquet(str(tmp_path / f"in/{i}"))
-    cache = dense.EmbeddingCache(spark, str(tmp_path / "c"), "vector map<bigint,double>")
-    e = dense.CachedEmbedder(dense.HashingEmbedder(), cache)
+    e = dense.build_cached(spark, "hashing", str(tmp_path / "c"))
     stream = spark.readStream.schema("id string, text string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     ingest(stream, e, str(tmp_path / "ck")).awaitTermination()
-    assert cache.read().count() == 3
+    assert e.cache.read().count() == 3
 
 
 def test_harness_encoder(spark):
