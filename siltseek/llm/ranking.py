@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def gapless(df: DataFrame, classes: list[str], order: list[str], out: str, cells: int = 64) -> DataFrame:
+def gapless(df: DataFrame, classes: list[str], order: list[str], out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within each combination of ``classes``.
 
     The numbers follow (cell, ``order``), so they are a fixed function of the
     rows. Rows that tie in every ordering column get distinct numbers.
     """
+    cells = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cell = F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int")
     dealt = df.withColumn("_cell", cell)
     counts = dealt.groupBy(*classes, "_cell").agg(F.count(F.lit(1)).alias("_n"))
