@@ -29,7 +29,7 @@ K1, B = 1.2, 0.75
 #: Items in a block at least, and blocks at most.
 ITEM_BLOCK, BLOCKS = 4, 64
 #: Items are indexed and broadcast in groups of at most so much text.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 #: Everything but ASCII letters and digits and the bytes of other characters parts words.
 _BLANK = np.ones(256, bool)
