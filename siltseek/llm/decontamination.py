@@ -68,13 +68,14 @@ class Index:
     block_most: np.ndarray  # by term and item block
     block_least: np.ndarray
     block: int  # items in a block
-    reach: int  # words of the longest item
+    reach: int  # words of the longest item of all groups
 
 
-def build_index(ids: list[int], questions: list[str | None], answers: list[str | None], words: int = WORDS, share: float = SHARE) -> Index | None:
+def build_index(ids: list[int], questions: list[str | None], answers: list[str | None], words: int = WORDS, share: float = SHARE, reach: int = 0) -> Index | None:
     """The index of test items; an item without words can't be found and is left out.
 
     Without an answer text, the second half of the item's shingles is the answer.
+    ``reach`` is the number of words of the longest item, if that is in another group.
     """
     kept: list[tuple[int, np.ndarray, int]] = []
     for id_, q, a in zip(ids, questions, answers):
@@ -112,7 +113,7 @@ def build_index(ids: list[int], questions: list[str | None], answers: list[str |
     block_most = np.zeros((len(vocabulary), blocks), np.float32)
     np.maximum.at(block_most, (term, item // block), impact.astype(np.float32) * np.float32(1 + 1e-6))
     block_least = np.minimum.reduceat(least, np.arange(0, n, block))
-    return Index(np.array([k[0] for k in kept]), shingles, sizes, question, vocabulary, first, item, impact, least, block_most.max(1).astype(float), block_most, block_least, block, int(lengths.max()))
+    return Index(np.array([k[0] for k in kept]), shingles, sizes, question, vocabulary, first, item, impact, least, block_most.max(1).astype(float), block_most, block_least, block, max(reach, int(lengths.max())))
 
 
 def find(index: Index, data: np.ndarray, offsets: np.ndarray, share: float = SHARE) -> list[tuple[int, int, int]]:
@@ -187,15 +188,26 @@ def _search(shared):
     return run
 
 
+def _most_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (text) to the largest number of words of a text, by block."""
+    for _, data, offsets in bytescan.blocks(batches):
+        _, doc = word_hashes(data, offsets)
+        yield pa.RecordBatch.from_arrays([pa.array([int(np.bincount(doc, minlength=1).max())])], ["n"])
+
+
 def _indices(items: DataFrame, question_col: str, answer_col: str | None) -> Iterator[Index]:
-    """Indices of the test items, in groups of bounded size."""
+    """Indices of the test items, in groups of bounded size; all search passages of the same length."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col(question_col).cast("string").alias("q"), answer.alias("a")).where("item_id IS NOT NULL").distinct()
     size = tests.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "q", "a"))), F.lit(0))).first()[0]
     groups = 1 + size // GROUP_BYTES
+    reach = 0
+    if groups > 1:
+        both = tests.select(F.concat_ws(" ", "q", "a").alias("text"))
+        reach = both.mapInArrow(_most_words, "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     for g in range(groups):
         part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).orderBy("item_id", "q").toArrow()
-        index = build_index(*(part.column(c).to_pylist() for c in ("item_id", "q", "a")))
+        index = build_index(*(part.column(c).to_pylist() for c in ("item_id", "q", "a")), reach=reach)
         if index is not None:
             yield index
 

@@ -277,6 +277,18 @@ def test_decontamination_edited_short_and_odd(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect() if r.doc_id} == {i for i, _ in rows if i} - {i for i, _ in want}
 
 
+def test_decontamination_in_groups_is_as_in_one(spark, monkeypatch):
+    """A short item parted by other words is found in passages of the longest item, whatever its group."""
+    short = [[f"s{i}w{j}" for j in range(16)] for i in range(12)]
+    items = spark.createDataFrame([*((i, " ".join(w)) for i, w in enumerate(short)), (99, " ".join(f"l{j}" for j in range(200)))], "item_id long, text string")
+    docs = make(spark, [(i, " ".join([*w[:8], *w[:8], *["filler"] * 60, *w[4:]])) for i, w in enumerate(short)])
+    rows = lambda: sorted(tuple(r) for r in decontamination.contaminated(docs, items).collect())
+    one = rows()
+    assert [(r[0], r[1]) for r in one] == [(i, i) for i in range(12)]
+    monkeypatch.setattr(decontamination, "GROUP_BYTES", 400)
+    assert rows() == one and decontamination.drop_contaminated(docs, items).count() == 0
+
+
 def test_question_and_answer_columns(spark):
     q, a = "which of the seven rivers runs north past the old town", "the green river runs north past the old town and on"
     items = spark.createDataFrame([(1, q, a)], "item_id long, q string, a string")
