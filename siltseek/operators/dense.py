@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -162,21 +164,29 @@ def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return d.join(broadcast_if_small(q), "bucket").groupBy("qid", "doc_id").agg(F.sum(F.col("_q") * F.col("value")).alias("dense"))
 
 
-def _query_block(queries: DataFrame, limit: int) -> tuple[list, np.ndarray]:
-    rows = queries.select("qid", "vector").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} questions in one block; split them")
-    rows.sort(key=lambda r: r["qid"])
-    return [r["qid"] for r in rows], np.array([r["vector"] for r in rows], np.float64)
+def _query_blocks(queries: DataFrame, limit: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, vectors) of at most ``limit`` questions at a time, by id."""
+    rows = queries.select("qid", "vector").orderBy("qid").toLocalIterator()
+    while block := list(itertools.islice(rows, limit)):
+        yield [r["qid"] for r in block], np.array([r["vector"] for r in block], np.float64)
+
+
+def _united(parts: Iterator[DataFrame], queries: DataFrame, schema: str) -> DataFrame:
+    """The results of all blocks; with no questions, none."""
+    found = list(parts)
+    return reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, {schema}")
 
 
 def block_moments(queries: DataFrame, docs: DataFrame, limit: int = 4096) -> DataFrame:
-    """(qid, n, mean, sd) of the dense scores of a block of questions over all documents.
+    """(qid, n, mean, sd) of the dense scores of questions over all documents, ``limit`` questions at a time.
 
-    Each batch of documents is one matrix product and sends one row a question,
-    never a row a pair.
+    Each batch of documents is one matrix product a block and sends one row a
+    question, never a row a pair.
     """
-    qids, matrix = _query_block(queries, limit)
+    return _united((_moments(*block, docs) for block in _query_blocks(queries, limit)), queries, "n long, mean double, sd double")
+
+
+def _moments(qids: list, matrix: np.ndarray, docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +203,16 @@ def block_moments(queries: DataFrame, docs: DataFrame, limit: int = 4096) -> Dat
 
 
 def block_topk(queries: DataFrame, docs: DataFrame, k: int, limit: int = 4096) -> DataFrame:
-    """(qid, rank, doc_id, dense): exact top k of a block of questions over all documents.
+    """(qid, rank, doc_id, dense): exact top k of questions over all documents, ``limit`` questions at a time.
 
-    Each batch of documents is one matrix product and keeps its k best a
+    Each batch of documents is one matrix product a block and keeps its k best a
     question; ties go to the smaller id.
     """
-    qids, matrix = _query_block(queries, limit)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _united((_topk(*block, docs, k) for block in _query_blocks(queries, limit)), queries, f"rank int, doc_id {kind}, dense double")
+
+
+def _topk(qids: list, matrix: np.ndarray, docs: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

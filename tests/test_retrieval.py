@@ -136,6 +136,16 @@ def test_block_topk_and_moments(spark, sf):
         assert abs(x.mean() - r["mean"]) < 1e-9 and abs(x.std() - r.sd) < 1e-6
 
 
+def test_block_topk_and_moments_take_any_number_of_questions(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = e.where("doc_id < 11").withColumnRenamed("doc_id", "qid")
+    for find, by in ((lambda x, n: dense.block_topk(x, e, 3, limit=n), ("qid", "rank")), (lambda x, n: dense.block_moments(x, e, limit=n), ("qid",))):
+        one, many = (find(q, n).orderBy(*by).toPandas() for n in (4096, 4))
+        assert one[list(by)].equals(many[list(by)]) and one.qid.nunique() == 11
+        assert np.allclose(one.drop(columns="qid").to_numpy(float), many.drop(columns="qid").to_numpy(float), atol=1e-12)
+        assert find(q.limit(0), 4).schema.names == list(one.columns) and find(q.limit(0), 4).count() == 0
+
+
 def test_cache_encodes_once(spark, tmp_path):
     e = dense.build_cached(spark, "hashing", str(tmp_path / "c"))
     df = spark.createDataFrame([("1", "foo bar"), ("2", "foo bar"), ("3", "baz")], "id string, text string")
