@@ -408,6 +408,20 @@ def test_classifiers_on_odd_rows(spark, odd, empty, module, name):
         assert score(empty, module.fit(empty, labels)).count() == 0
 
 
+def test_labelled_sample_keeps_both_classes(spark):
+    from siltseek.llm.labelled import labelled_sample
+
+    docs = make(spark, [(i, ("t" if i % 20 == 0 else "c") * 1000) for i in range(400)] + [(i, "t" * 90_000) for i in range(400, 420)])
+    y = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(400)] + [(i, 1) for i in range(400, 420)], "doc_id long, toxic int")
+    count = lambda *a: [labelled_sample(*a).column("label").to_pylist().count(c) for c in (0, 1)]
+    clean, toxic = (sum(zlib.crc32(str(i).encode()) % 5 != 0 and (i % 20 == 0) == t for i in range(400)) for t in (False, True))
+    # in one hash order of both classes, or with a stop at the first long text, few toxic ones or none are left
+    assert count(docs, y, "toxic", 2000, 60_000) == [60 - toxic, toxic]
+    assert count(docs.where("doc_id < 400"), y, "toxic", 2000, 1 << 20) == [clean, toxic]
+    with pytest.raises(ValueError, match="class 1"):
+        labelled_sample(docs.where("doc_id >= 400 OR doc_id % 20 > 0"), y, "toxic", 2000, 60_000)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     y = spark.read.parquet(f"{sf}/labels.parquet")
