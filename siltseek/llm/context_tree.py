@@ -7,10 +7,12 @@ estimates a bit by Krichevsky-Trofimov counts, and the weighted probability of a
 node is the mean of its own estimate and the product of its children's, so each
 prediction mixes all depths by how well they coded the training bytes.
 
-The contexts with the highest counts are nodes, up to a number of states that
-bounds the tree's size whatever the corpus; what a node's children leave over is
-one more child, *the rest*, so no byte goes uncounted and the tree is a proper
-one. Scoring uses the counts as they are after training.
+Every context that occurs is a node. ``Subtrees`` and ``top`` hold the tree in
+parts, so that it may be of any size: below each context of two bytes only the
+bit nodes that occur, above them two levels. ``build`` makes a tree of given
+nodes in one piece; what a node's children leave over is then one more child,
+*the rest*, so no byte goes uncounted and the tree is a proper one. Scoring uses
+the counts as they are after training.
 """
 
 from __future__ import annotations
@@ -60,12 +62,18 @@ def preceding(stream: np.ndarray, offsets: np.ndarray, back: int) -> np.ndarray:
 
 
 def grams(stream: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, byte) grams and their counts; the byte is the low one."""
+    """Distinct (context, byte) grams and their counts."""
+    key = keys(stream, offsets, depth)
+    key.sort()
+    return summed(key, np.ones(len(key), np.int64))
+
+
+def keys(stream: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
+    """The (context, byte) gram of each byte; the byte is the low one."""
     key = stream.astype(np.uint64)
     for j in range(1, depth + 1):
         key |= preceding(stream, offsets, j).astype(np.uint64) << np.uint64(8 * j)
-    key.sort()
-    return summed(key, np.ones(len(key), np.int64))
+    return key
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,3 +201,106 @@ def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tree:
             oldest = (contexts[d] >> np.uint64(8 * (d - 1))).astype(np.int64)
             step[start[d - 1] + parent[d], oldest] = np.arange(start[d], start[d + 1])
     return Tree(depth, step, cost)
+
+
+#: (said, left) by last byte and bit node: what the contexts of no and one byte say, and the weight left for deeper ones.
+Top = tuple[np.ndarray, np.ndarray]
+
+
+def top(symbols: np.ndarray, below: np.ndarray) -> Top:
+    """The two upper levels, from each last byte's counts and its children's summed log probabilities."""
+    log_one, p_one = _estimates(symbols)
+    log_none, p_none = _estimates(symbols.sum(0, keepdims=True))
+    own_one = 1 / (1 + np.exp(np.clip(below - log_one, -700, 700)))
+    children = (np.logaddexp(log_one, below) - np.log(2)).sum(0, keepdims=True)
+    own_none = 1 / (1 + np.exp(np.clip(children - log_none, -700, 700)))
+    left = 1 - own_none
+    return own_none * p_none + left * own_one * p_one, left * (1 - own_one)
+
+
+_FEW = 4096
+_LOG_GAMMA = _log_gamma(np.arange(2 * _FEW) / 2 + 0.5)  # of 0.5, 1, 1.5, ...
+
+
+def _log_gamma_of(n: np.ndarray, halves: int) -> np.ndarray:
+    """log gamma of whole numbers ``n`` plus ``halves`` / 2, which is 1 or 2; small ones from a table."""
+    out = _LOG_GAMMA[2 * np.minimum(n, _FEW - 1) + halves - 1]
+    many = np.flatnonzero(n >= _FEW)
+    out[many] = _log_gamma(n[many] + halves / 2)
+    return out
+
+
+class Subtrees:
+    """The nodes of two to ``depth`` bytes over some grams, bit by bit, only where grams are.
+
+    Grams are distinct and sorted; of a context of two bytes all that occur must
+    be given. Grams of no occurrences may be among them: they change nothing.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int) -> None:
+        turned = np.zeros_like(key)  # the context's latest byte first, then the older ones, then the byte
+        for j in range(1, depth + 1):
+            turned |= ((key >> np.uint64(8 * j)) & np.uint64(255)) << np.uint64(8 * (depth + 1 - j))
+        turned |= key & np.uint64(255)
+        self.keys, self.counts, self.place = [], [], []  # from ``depth`` up to 2; ``place`` of the deeper level's grams among these
+        for _ in range(depth, 1, -1):
+            one, at = np.unique(turned, return_inverse=True)
+            self.keys.append(one)
+            self.counts.append(np.bincount(at, n, len(one)).astype(np.int64))
+            self.place.append(at)
+            turned, n = ((one >> np.uint64(16)) << np.uint64(8)) | (one & np.uint64(255)), self.counts[-1]
+
+    def _level(self, bit: int) -> list[tuple[np.ndarray, ...]]:
+        """For each depth, the deepest first: (first gram of each node, node of each gram, log probability
+        of all below, own weight, probability of a 1), of the nodes of a byte's first ``bit`` bits."""
+        out, below = [], None
+        for i, (key, n) in enumerate(zip(self.keys, self.counts)):
+            prefix = key >> np.uint64(8 - bit)
+            new = np.append(True, prefix[1:] != prefix[:-1])
+            first, node = np.flatnonzero(new), np.cumsum(new) - 1
+            ones = np.add.reduceat(np.where((key >> np.uint64(7 - bit)) & np.uint64(1), n, 0), first)
+            total = np.add.reduceat(n, first)
+            log_own = _log_gamma_of(total - ones, 1) + _log_gamma_of(ones, 1) - _log_gamma_of(total, 2) - np.log(np.pi)
+            if i == 0:
+                weighted, own = log_own, np.ones(len(first))
+            else:
+                children = np.bincount(node[self.place[i][out[-1][0]]], below, len(first))
+                own = 1 / (1 + np.exp(np.clip(children - log_own, -700, 700)))
+                weighted = np.logaddexp(log_own, children) - np.log(2)
+            below = weighted
+            out.append((first, node, weighted, own, (ones + 0.5) / (total + 1)))
+        return out
+
+    def _parent(self, first: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(last byte, bit node) above each node of two bytes, from its first gram."""
+        key = self.keys[-1][first]
+        return (key >> np.uint64(16)).astype(np.int64), (1 << bit) | ((key & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64)
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last byte, counts of the 256 bytes, log probabilities by bit node), summed over the contexts of two bytes."""
+        key = self.keys[-1]
+        symbols, below = np.zeros((256, 256)), np.zeros((256, 256))
+        np.add.at(symbols, ((key >> np.uint64(16)).astype(np.int64), (key & np.uint64(255)).astype(np.int64)), self.counts[-1])
+        for bit in range(8):
+            first, _, weighted, _, _ = self._level(bit)[-1]
+            np.add.at(below, self._parent(first, bit), weighted)
+        last = np.flatnonzero(symbols.any(1))
+        return last, symbols[last], below[last]
+
+    def costs(self, above: Top) -> np.ndarray:
+        """The log10 probability of each gram's byte after its context, in the order given."""
+        cost = np.zeros(len(self.keys[0]))
+        for bit in range(8):
+            levels = self._level(bit)
+            parent = self._parent(levels[-1][0], bit)
+            said, left = above[0][parent], above[1][parent]
+            for i in range(len(levels) - 1, -1, -1):
+                first, node, _, own, p = levels[i]
+                said, left = said + left * own * p, left * (1 - own)
+                if i:
+                    up = node[self.place[i][levels[i - 1][0]]]
+                    said, left = said[up], left[up]
+            one = ((self.keys[0] >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            p = np.clip(said, 1e-12, 1 - 1e-12)[levels[0][1]]
+            cost += np.log10(np.where(one, p, 1 - p))
+        return cost[self.place[0]]

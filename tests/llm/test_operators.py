@@ -373,6 +373,30 @@ def test_context_tree_equals_a_direct_weighting():
             assert abs(tree.cost[state, byte] - total) < 1e-4
 
 
+def test_lm_tree_holds_every_context(spark, monkeypatch):
+    """More contexts than any fixed number of states: the scores are those of the whole tree."""
+    from siltseek.llm import context_tree as ct
+
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 350).tolist()).decode() for _ in range(49)]
+    own = [i for i in range(49) if zlib.crc32(str(i).encode()) % 7 != 2]
+    block = lambda ids: (np.frombuffer("".join(texts[i] for i in ids).encode(), np.uint8), np.arange(len(ids) + 1) * 350)
+    key, n = ct.grams(*ct.streams(*block(own)), 5)
+    levels = []
+    for d in range(5, -1, -1):
+        k = key & np.uint64((1 << 8 * (d + 1)) - 1)
+        by = np.argsort(k)
+        k, m = ct.summed(k[by], n[by])
+        levels.insert(0, (k >> np.uint64(8), (k & np.uint64(255)).astype(int), m))
+    tree = ct.build(levels)
+    assert len(tree.cost) > 32_768
+    want = tree.score(*ct.streams(*block(range(49))))
+    for share in (lm_scoring.HEAD_GRAMS, 0.01):  # all known grams are broadcast, or hardly any
+        monkeypatch.setattr(lm_scoring, "HEAD_GRAMS", share)
+        got = {r.doc_id: r.score for r in lm_scoring.score_documents(make(spark, list(enumerate(texts)))).collect()}
+        assert np.allclose([got[i] for i in range(49)], want, rtol=1e-5)
+
+
 # ---- classifiers ----
 
 
