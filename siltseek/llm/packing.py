@@ -11,7 +11,9 @@ rank.
 
 from __future__ import annotations
 
+import functools
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -69,26 +71,32 @@ def best_fit_classes(counts: dict[int, int], capacity: int) -> list[BinClass]:
     return [c for classes in by_room.values() for c in classes]
 
 
-def _best_exchange(giver: BinClass, taker: BinClass, capacity: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that fills ``taker`` most: (gain, given, returned).
+class _Sums:
+    """The sums of one piece and of two pieces of a class, ascending, each with its pieces."""
+
+    def __init__(self, items: tuple[int, ...]) -> None:
+        ones = sorted({(x,) for x in items})
+        twos = sorted(set(combinations(sorted(items), 2)), key=sum)
+        self.one, self.two = ([sum(p) for p in ones], ones), ([sum(p) for p in twos], twos)
+
+
+_NOTHING = ([0], [()])
+
+
+def _best_exchange(giver: _Sums, taker: _Sums, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+    """The exchange that fills a taker with ``room`` most: (gain, given, returned).
 
     Given and returned are one-for-none, one-for-one, two-for-one or one-for-two
     pieces; the gain is positive and within the taker's room.
     """
-    room = capacity - taker.fill
-    ones = [(g,) for g in set(giver.items)]
-    twos = list(set(combinations(sorted(giver.items), 2)))
-    back1 = [(t,) for t in set(taker.items)]
-    back2 = list(set(combinations(sorted(taker.items), 2)))
     best = None
-    for given, returned in ((ones, [()]), (ones, back1), (twos, back1), (ones, back2)):
-        for g in given:
-            for t in returned:
-                gain = sum(g) - sum(t)
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, g, t)
-        if best and best[0] == room:
-            break
+    for (sums, given), (back, returned) in ((giver.one, _NOTHING), (giver.one, taker.one), (giver.two, taker.one), (giver.one, taker.two)):
+        for t, pieces in zip(back, returned):
+            at = bisect_right(sums, room + t) - 1
+            if at >= 0 and sums[at] - t > (best[0] if best else 0):
+                best = (sums[at] - t, given[at], pieces)
+                if best[0] == room:
+                    return best
     return best
 
 
@@ -99,50 +107,93 @@ def _replaced(items: tuple[int, ...], out: tuple[int, ...], new: tuple[int, ...]
     return tuple(sorted([*rest, *new], reverse=True))
 
 
-def local_search(classes: list[BinClass], capacity: int, max_moves: int = 4000, takers: int = 64) -> list[BinClass]:
-    """Shift pieces from the emptiest underfull class to fuller ones until bins empty.
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A bound on the bins of any packing: pieces above half the capacity never share a bin.
+
+    For each k, pieces above capacity - k fill a bin alone (none below k fits
+    beside them), those above half have a bin each, and what of the pieces from k
+    to half does not fit beside the latter needs more.
+    """
+    n, total = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for size, m in counts.items():
+        n[size], total[size] = m, size * m
+    n, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(total)])  # of sizes below the index
+    half, best = capacity // 2, 0
+    for k in range(half + 1):
+        alone, large = n[capacity + 1] - n[capacity - k + 1], n[capacity - k + 1] - n[half + 1]
+        spare = large * capacity - (total[capacity - k + 1] - total[half + 1])
+        small = total[half + 1] - total[k]
+        best = max(best, int(alone + large + max(0, -(-(small - spare) // capacity))))
+    return best
+
+
+def local_search(classes: list[BinClass], capacity: int) -> tuple[list[BinClass], int]:
+    """(classes, exchanges): pieces shift from emptier underfull classes to fuller ones until bins empty.
 
     Every exchange makes the fuller bin fuller and the emptier one emptier, so
-    the sum of squared fills grows and the search ends. It stops early at the
-    bound ceil(total / capacity) or after ``max_moves`` exchanges; the work
-    depends on the number of classes, not on the number of documents.
+    the sum of squared fills grows and the search ends: at ``least_bins``, which
+    no packing beats, or where no pair of underfull classes has an exchange left.
+    A class that has found no taker is tried again only with classes that are
+    newer than that. The work depends on the number of classes, not on the number
+    of documents.
     """
-    merged: dict[tuple[int, ...], int] = {}
+    bins: dict[tuple[int, ...], int] = {}
+    counts: dict[int, int] = {}
     for c in classes:
         key = tuple(sorted(c.items, reverse=True))
-        merged[key] = merged.get(key, 0) + c.bins
-    total = sum(sum(k) * n for k, n in merged.items())
-    bound = -(-total // capacity)
-    tired: set[tuple[int, ...]] = set()
-    for _ in range(max_moves):
-        if sum(merged.values()) <= bound:
-            break
-        under = sorted((sum(k), k) for k in merged if sum(k) < capacity)
-        source = next((k for _, k in under if k not in tired), None)
-        if source is None:
-            break
-        giver = BinClass(source, merged[source])
+        bins[key] = bins.get(key, 0) + c.bins
+        for x in key:
+            counts[x] = counts.get(x, 0) + c.bins
+    left = sum(bins.values()) - least_bins(counts, capacity)
+    under = sorted((sum(k), k) for k in bins if sum(k) < capacity)  # by fill
+    births: list[tuple[int, ...]] = []  # classes in the order they came up
+    tried: dict[tuple[int, ...], int] = {}  # how many births there were when a class found no taker
+    sums = functools.lru_cache(maxsize=4096)(_Sums)
+    moves, at, moved = 0, 0, False
+    while left > 0 and (at < len(under) or moved):
+        if at == len(under):
+            at, moved = 0, False
+            continue
+        fill, giver = under[at]
+        if giver in tried:
+            takers = sorted({(sum(k), k) for k in births[tried[giver] :] if k in bins and fill <= sum(k) < capacity}, reverse=True)
+        else:
+            takers = under[at:][::-1]
         found = None
-        for fill, k in under[::-1][:takers]:
-            if fill < giver.fill or (k == source and giver.bins < 2):
+        for other, taker in takers:  # the fullest first
+            if taker == giver and bins[giver] < 2:
                 continue
-            move = _best_exchange(giver, BinClass(k, merged[k]), capacity)
+            move = _best_exchange(sums(giver), sums(taker), capacity - other)
             if move and (found is None or move[0] > found[0][0]):
-                found = move, k
+                found = move, taker
+                if move[0] == capacity - other:
+                    break
         if found is None:
-            tired.add(source)
+            tried[giver] = len(births)
+            at += 1
             continue
-        (_, given, returned), k = found
-        n = merged[source] // 2 if k == source else min(merged[source], merged[k])
-        for old in (source, k):
-            merged[old] -= n
-            if not merged[old]:
-                del merged[old]
-        for new in (_replaced(k, returned, given), _replaced(source, given, returned)):
-            if new:
-                merged[new] = merged.get(new, 0) + n
-                tired.discard(new)
-    return [BinClass(k, n) for k, n in sorted(merged.items(), reverse=True)]
+        (_, given, returned), taker = found
+        n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+        moves, moved = moves + n, True
+        for old in (giver, taker):
+            bins[old] -= n
+            if not bins[old]:
+                del bins[old]
+                tried.pop(old, None)
+                under.pop(bisect_left(under, (sum(old), old)))
+        for new in (_replaced(taker, returned, given), _replaced(giver, given, returned)):
+            if not new:
+                left -= n
+            elif new in bins:
+                bins[new] += n
+                births.append(new)  # with more than one bin it can also give to itself
+            else:
+                bins[new] = n
+                births.append(new)
+                if sum(new) < capacity:
+                    insort(under, (sum(new), new))
+        at = bisect_left(under, (fill - sum(given) + sum(returned),))  # the giver, emptier, goes on giving
+    return [BinClass(k, n) for k, n in sorted(bins.items(), reverse=True)], moves
 
 
 def slot_table(classes: list[BinClass]) -> dict[str, np.ndarray]:
@@ -182,10 +233,11 @@ def cut_pieces(vocabulary: str, capacity: int, end_id: int = 0):
     return run
 
 
-def _seat(slots: dict[str, np.ndarray]):
+def _seat(shared):
     """mapInArrow function: adds sequence_id and offset by (length, _rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = shared.value
         span = int(slots["first"].max(initial=0)) + 1
         key = slots["size"] * span + slots["first"]  # sizes are at most the capacity, so this stays far below 2^63
         for batch in batches:
@@ -197,7 +249,7 @@ def _seat(slots: dict[str, np.ndarray]):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = tokens.VOCABULARY, id_col: str = "doc_id", text_col: str = "text", max_moves: int = 4000) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = tokens.VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are its text's and a final 0 (a null or empty text: just
@@ -209,7 +261,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = toke
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = scratch(read.mapInArrow(cut_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    slots = slot_table(local_search(best_fit_classes(counts, capacity), capacity, max_moves))
+    classes, _ = local_search(best_fit_classes(counts, capacity), capacity)
+    slots = docs.sparkSession.sparkContext.broadcast(slot_table(classes))  # a row per piece of a class: what lengths there are bounds it
     ranked = gapless(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")
     return ranked.mapInArrow(_seat(slots), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

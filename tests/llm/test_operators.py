@@ -125,16 +125,19 @@ def test_encoder_equals_the_reference(spark, sf):
     assert [encoder()(t) for t in texts] == reference_ids(texts)
 
 
-def test_token_counts(spark, odd, empty):
+def test_token_counts(spark, sf, odd, empty):
     assert token_counts.context_limits(token_counts.length_histogram(empty)).count() == 0
-    lengths = [len(i) for i in reference_ids([r.text or "" for r in odd.collect()])]
-    got = token_counts.context_limits(token_counts.length_histogram(odd)).collect()
-    assert sorted(r.context_limit for r in got) == sorted(set(lengths))
-    for r in got:
-        k = r.context_limit
-        assert (r.n_docs, r.docs_within, r.docs_over) == (lengths.count(k), sum(x <= k for x in lengths), sum(x > k for x in lengths))
-        assert (r.kept_tokens, r.total_tokens) == (sum(min(x, k) for x in lengths), sum(lengths))
-        assert abs(r.quantile - r.docs_within / len(lengths)) < 1e-12
+    for df, limits in ((odd, [7, 2048, 1 << 20]), (documents(spark, sf), [3, 100, 100])):
+        lengths = [len(i) for i in reference_ids([r.text or "" for r in df.collect()])]
+        got = token_counts.context_limits(token_counts.length_histogram(df), limits).collect()
+        assert sorted(r.context_limit for r in got) == sorted({*lengths, *limits})
+        for r in got:
+            k = r.context_limit
+            assert (r.n_docs, r.docs_within, r.docs_over) == (lengths.count(k), sum(x <= k for x in lengths), sum(x > k for x in lengths))
+            assert (r.kept_tokens, r.total_tokens) == (sum(min(x, k) for x in lengths), sum(lengths))
+            assert abs(r.quantile - r.docs_within / len(lengths)) < 1e-12
+    asked = {r.context_limit for r in token_counts.op3_token_counts(spark, sf).select("context_limit").collect()}
+    assert {1 << i for i in range(21)} <= asked and set(lengths) <= asked
 
 
 def check_packing(got, ids_by_doc, capacity):
@@ -165,12 +168,48 @@ def test_packing(spark, sf, odd, empty, capacity):
 
 def test_local_search_empties_bins():
     start = [packing.BinClass((60,), 30), packing.BinClass((40, 25), 30), packing.BinClass((35,), 30)]
-    done = packing.local_search(start, 100)
-    assert sum(c.bins for c in done) < 90 and all(c.fill <= 100 for c in done)
+    done, moves = packing.local_search(start, 100)
+    assert moves and sum(c.bins for c in done) < 90 and all(c.fill <= 100 for c in done)
     count = lambda cs: sorted(s for c in cs for s in c.items * c.bins)
     assert count(done) == count(start)
 
 
+@pytest.mark.parametrize("low,high", [(20, 40), (25, 55), (15, 60), (24, 50), (1, 100)])
+def test_local_search_ends_at_a_local_optimum(low, high):
+    """Fewer bins than the best-fit start, or the bound; and no exchange is left."""
+    rng = np.random.default_rng(low)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(rng.integers(low, high, 5000), return_counts=True))}
+    start = packing.best_fit_classes(counts, 100)
+    done, moves = packing.local_search(start, 100)
+    bound, n = packing.least_bins(counts, 100), sum(c.bins for c in done)
+    assert bound <= n <= sum(c.bins for c in start)
+    assert {s: sum(c.items.count(s) * c.bins for c in done) for s in counts} == counts
+    under = [c for c in done if c.fill < 100]
+    if n > bound:
+        for a in under:
+            for b in under:
+                if b.fill >= a.fill and (a is not b or a.bins > 1):
+                    assert packing._best_exchange(packing._Sums(a.items), packing._Sums(b.items), 100 - b.fill) is None
+    if (low, high) in [(20, 40), (25, 55), (24, 50)]:
+        assert moves and n < sum(c.bins for c in start)
+
+
+def test_least_bins_is_a_bound():
+    rng = np.random.default_rng(5)
+    for _ in range(40):  # against the fewest bins of all packings of a few pieces
+        items = sorted(rng.integers(1, 21, rng.integers(1, 8)).tolist(), reverse=True)
+
+        def fewest(i, rooms):
+            if i == len(items):
+                return len(rooms)
+            options = [fewest(i + 1, [*rooms, 20 - items[i]])]
+            options += [fewest(i + 1, [*rooms[:j], r - items[i], *rooms[j + 1 :]]) for j, r in enumerate(rooms) if r >= items[i]]
+            return min(options)
+
+        counts = {int(k): int(n) for k, n in zip(*np.unique(items, return_counts=True))}
+        assert packing.least_bins(counts, 20) <= fewest(0, [])
+
+
 # ---- near dedup ----
 
 
