@@ -25,13 +25,22 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str =
     return encoded.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def context_limits(histogram: DataFrame) -> DataFrame:
-    """For each occurring length as a context limit: counts, totals and quantile.
+#: Limits that are asked about whatever lengths occur: the powers of two up to 1,048,576.
+LIMITS = [1 << i for i in range(21)]
+
+
+def context_limits(histogram: DataFrame, limits: list[int] | None = None) -> DataFrame:
+    """For each occurring length, and each of ``limits``, as a context limit: counts, totals and quantile.
 
     context_limit, n_docs (of just that length), docs_within (no longer than the
     limit), docs_over, kept_tokens (total when texts are cut to the limit),
-    total_tokens, quantile (docs_within / all documents).
+    total_tokens, quantile (docs_within / all documents). Any limit can be asked
+    about: one that no document has is a length of no documents. An empty
+    histogram gives an empty result.
     """
+    if limits:
+        more = histogram.sparkSession.createDataFrame([(n, 0) for n in set(limits)], "n_tokens long, n_docs long")
+        histogram = histogram.unionByName(more).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     h = scratch(histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("_t"), F.expr(f"n_tokens div {_BLOCK}").alias("_b")), "lengths")
     after = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     blocks = h.groupBy("_b").agg(F.sum("n_docs").alias("_bn"), F.sum("_t").alias("_bt"))
@@ -39,7 +48,7 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     totals = h.agg(F.sum("n_docs").alias("_n"), F.sum("_t").alias("total_tokens"))
     inside = W.partitionBy("_b").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, -1)
     over = h.select("*", F.coalesce(F.sum("n_docs").over(inside), F.lit(0)).alias("_in"), F.coalesce(F.sum("_t").over(inside), F.lit(0)).alias("_it"))
-    rows = over.join(blocks, "_b").crossJoin(F.broadcast(totals))  # totals is one row
+    rows = over.join(blocks, "_b").crossJoin(F.broadcast(totals.where("_n > 0")))  # totals is one row
     docs_over, tokens_over = F.col("_in") + F.col("_an"), F.col("_it") + F.col("_at")
     return rows.select(
         F.col("n_tokens").alias("context_limit"),
@@ -53,4 +62,4 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    return context_limits(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return context_limits(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), LIMITS)
