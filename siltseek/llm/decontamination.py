@@ -4,7 +4,8 @@ The test items are indexed: term -> (item, impact) postings, items in blocks
 with each term's largest impact in the block. Every passage of every training
 text is a query. A passage whose terms' largest impacts cannot reach any item's
 threshold is done; of the others only the item blocks whose block maxima reach
-the block's least threshold are scored. Items at or above their threshold are
+the block's least threshold are scored, and postings of all other blocks are
+skipped unread (block-max WAND with a block of items as the pivot). Items at or above their threshold are
 verified: ``SHARE`` of the item's word shingles must occur in the passage, and
 half of those of its question and of its answer.
 
@@ -60,7 +61,7 @@ class Index:
     sizes: np.ndarray  # words in a shingle
     question: np.ndarray  # how many of the shingles are the question's
     vocabulary: np.ndarray
-    first: np.ndarray  # postings of term t: first[t] to first[t + 1]
+    first: np.ndarray  # postings of term t in item block b: first[t, b] to first[t, b + 1]
     item: np.ndarray
     impact: np.ndarray
     least: np.ndarray  # threshold by item
@@ -107,9 +108,10 @@ def build_index(ids: list[int], questions: list[str | None], answers: list[str |
     for i in range(n):
         own = impact[by[at[i] : at[i + 1]]]
         least[i] = own[: max(0, len(own) - int((1 - share) * counts[i] + 1e-9))].sum()
-    first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
     block = max(ITEM_BLOCK, -(-n // BLOCKS))
     blocks = -(-n // block)
+    runs = np.concatenate([[0], np.cumsum(np.bincount(term * blocks + item // block, minlength=len(vocabulary) * blocks))])  # postings lie by term, then item
+    first = np.concatenate([runs[:-1].reshape(-1, blocks), runs[blocks::blocks, None]], axis=1).astype(np.int32)
     block_most = np.zeros((len(vocabulary), blocks), np.float32)
     np.maximum.at(block_most, (term, item // block), impact.astype(np.float32) * np.float32(1 + 1e-6))
     block_least = np.minimum.reduceat(least, np.arange(0, n, block))
@@ -152,13 +154,18 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray, share: float = SHA
     return [(d, i, m) for (d, i), m in best.items()]
 
 
+def postings(index: Index, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Places of the terms' postings in the item blocks that are left; those of other blocks are skipped."""
+    start, end = (index.first[terms][:, blocks + i].ravel().astype(np.int64) for i in (0, 1))
+    n = end - start
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _verify(index: Index, p: int, terms: np.ndarray, blocks: np.ndarray, hashes: np.ndarray, first: np.ndarray, n: np.ndarray, base: np.ndarray, passages: np.ndarray, share: float, best: dict[tuple[int, int], int]) -> None:
     """Scores a passage against the items of ``blocks`` and verifies those at their threshold."""
     stride = index.reach
-    postings = np.concatenate([np.arange(a, b) for a, b in zip(index.first[terms], index.first[terms + 1])])
-    item = index.item[postings]
-    inside = blocks[item // index.block]
-    score = np.bincount(item[inside], index.impact[postings[inside]], len(index.ids))
+    read = postings(index, terms, np.flatnonzero(blocks))
+    score = np.bincount(index.item[read], index.impact[read], len(index.ids))
     found = np.flatnonzero((score > 0) & (score >= index.least * (1 - 1e-9)))
     if not len(found):
         return
@@ -266,18 +273,18 @@ WITH dw AS (
 ), stride AS (
   SELECT max(len(w)) AS s FROM iw
 ), ish AS (
-  SELECT item_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS g, len(w) - 4 AS total
-  FROM iw, unnest(range(0, len(w) - 4)) AS t(i) WHERE len(w) >= 5
+  SELECT item_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS g, len(w) - k + 1 AS total
+  FROM (SELECT *, least(5, len(w)) AS k FROM iw WHERE len(w) > 0), unnest(range(0, len(w) - k + 1)) AS t(i)
 ), dsh AS (
-  SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM dw, unnest(range(0, len(w) - 4)) AS t(i) WHERE len(w) >= 5
+  SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS g FROM dw, (SELECT DISTINCT k FROM ish), unnest(range(0, len(w) - k + 1)) AS t(i) WHERE len(w) >= k
 ), near AS (
-  SELECT doc_id, i, g FROM dsh WHERE g IN (SELECT g FROM ish)
+  SELECT doc_id, k, i, g FROM dsh WHERE (k, g) IN (SELECT (k, g) FROM ish)
 ), passages AS (
-  SELECT DISTINCT doc_id, k, g FROM near, stride, unnest([i // s, i // s - 1]) AS t(k)
-  WHERE k >= 0 AND i >= k * s AND i + 5 <= (k + 2) * s
+  SELECT DISTINCT doc_id, p, k, g FROM near, stride, unnest([i // s, i // s - 1]) AS t(p)
+  WHERE p >= 0 AND i >= p * s AND i + k <= (p + 2) * s
 ), hits AS (
-  SELECT doc_id, item_id, k, total, count(*) AS shared, count(*) FILTER (WHERE i < (total + 1) // 2) AS q
-  FROM passages JOIN ish USING (g) GROUP BY ALL
+  SELECT doc_id, item_id, p, total, count(*) AS shared, count(*) FILTER (WHERE i < (total + 1) // 2) AS q
+  FROM passages JOIN ish USING (k, g) GROUP BY ALL
 )
 SELECT doc_id, item_id, max(shared) AS shared, total FROM hits
 WHERE 10 * shared >= 8 * total AND 2 * q >= (total + 1) // 2 AND 2 * (shared - q) >= total - (total + 1) // 2

@@ -328,6 +328,34 @@ def test_decontamination_in_groups_is_as_in_one(spark, monkeypatch):
     assert rows() == one and decontamination.drop_contaminated(docs, items).count() == 0
 
 
+def test_postings_of_pruned_blocks_are_not_read():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    index = decontamination.build_index(list(range(40)), [" ".join(rng.choice(words, 12)) for _ in range(40)], [None] * 40)
+    terms, n_blocks = np.arange(0, len(index.vocabulary), 3), index.block_most.shape[1]
+    every = decontamination.postings(index, terms, np.arange(n_blocks))
+    assert len(every) == sum(index.first[t, -1] - index.first[t, 0] for t in terms) == len(set(every))
+    some = np.array([1, 4])
+    assert sorted(decontamination.postings(index, terms, some)) == sorted(p for p in every if index.item[p] // index.block in some)
+
+
+@pytest.mark.parametrize("group_bytes", [2 << 20, 400])
+def test_decontamination_equals_its_sql(spark, sf, group_bytes, monkeypatch):
+    """With one group of items and with several; short items too."""
+    import duckdb
+
+    monkeypatch.setattr(decontamination, "GROUP_BYTES", group_bytes)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(6).collect()]
+    rows = rows_of(documents(spark, sf))
+    items += [(100, "it"), (101, " ".join(rows[5][1].split()[3:6])), (102, " ".join(rows[7][1].split()[:40])), (103, "never to be found anywhere")]
+    con = duckdb.connect()
+    con.register("documents", documents(spark, sf).toPandas())
+    con.register("benchmark", spark.createDataFrame(items, "item_id long, text string").toPandas())
+    want = {tuple(r) for r in con.sql(decontamination.OP9_SQL).fetchall()}
+    got = decontamination.contaminated(documents(spark, sf), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id", "shared", "total").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {100, 101, 102} <= {i for _, i, _, _ in want}
+
+
 def test_question_and_answer_columns(spark):
     q, a = "which of the seven rivers runs north past the old town", "the green river runs north past the old town and on"
     items = spark.createDataFrame([(1, q, a)], "item_id long, q string, a string")
