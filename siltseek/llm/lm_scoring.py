@@ -34,6 +34,16 @@ _END_KEY = np.uint64(0x5EED)
 _LAST = (1 << 63) - 1
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones: sorted or small ones compress well so."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T).tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of each lower-cased word and of each document's end, by hash."""
     data = bytescan.LOWER[data]
@@ -79,7 +89,7 @@ class _Held:
         bucket = _bucket(self.kind, key, self.buckets)
         by = np.argsort(bucket, kind="stable")
         parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
-        columns = [[self.kind] * len(parts), [bucket[p[0]] for p in parts], [key[p].tobytes() for p in parts], [n[p].astype("<i8").tobytes() for p in parts]]
+        columns = [[self.kind] * len(parts), [bucket[p[0]] for p in parts], [_planes(key[p], "<u8") for p in parts], [_planes(n[p], "<i8") for p in parts]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "bucket", "keys", "counts"])
 
 
@@ -105,14 +115,14 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, int], list] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            found.setdefault((row["kind"], row["bucket"] if row["kind"] == "gram" else -1), []).append((np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], "<i8")))
+            found.setdefault((row["kind"], row["bucket"] if row["kind"] == "gram" else -1), []).append((_numbers(row["keys"], "<u8"), _numbers(row["counts"], "<i8")))
     names = ["kind", "bucket", "key", "n", "keys", "counts"]
     for (kind, bucket), parts in found.items():
         key, n = (np.concatenate(x) for x in zip(*parts))
         by = np.argsort(key, kind="stable")
         key, n = context_tree.summed(key[by], n[by])
         # in the row's plain columns: how many keys, how many occurrences
-        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([len(key)]), pa.array([int(n.sum())]), pa.array([key.tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([len(key)]), pa.array([int(n.sum())]), pa.array([_planes(key, "<u8")], pa.binary()), pa.array([_planes(n, "<i8")], pa.binary())], names)
 
 
 def _heads(least: float):
@@ -121,7 +131,7 @@ def _heads(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                key, n = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["counts"], "<i8")
+                key, n = _numbers(row["keys"], "<i8"), _numbers(row["counts"], "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(key[n >= least]), pa.array(n[n >= least])], ["key", "n"])
 
     return run
@@ -129,7 +139,7 @@ def _heads(least: float):
 
 def _gram_counts(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """The (gram, count) arrays of gram rows."""
-    return tuple(np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", np.uint64), ("counts", "<i8")))
+    return tuple(np.concatenate([_numbers(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("counts", "<i8")))
 
 
 def _upwards(depth: int):
@@ -206,7 +216,8 @@ def _travelling(kind: str, buckets: int, block: int, pk: np.ndarray, pd: np.ndar
     count here and the documents with their numbers of it."""
     token = np.flatnonzero(np.append(True, pk[1:] != pk[:-1]))
     pairs = np.diff(np.append(token, len(pk)))
-    train = np.add.reduceat(np.where(held[pd], 0, times), token)
+    # how often training has a gram is in its part of the tree; a word's count is put together from these
+    train = np.add.reduceat(np.where(held[pd], 0, times), token) if kind == "word" else None
     bucket = _bucket(kind, pk[token], buckets)
     by = np.argsort(bucket, kind="stable")
     first = np.cumsum(pairs) - pairs
@@ -214,7 +225,7 @@ def _travelling(kind: str, buckets: int, block: int, pk: np.ndarray, pd: np.ndar
     for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
         size = pairs[part]
         inside = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        values = (bucket[part[0]], pk[token[part]].tobytes(), train[part].astype("<u4").tobytes(), size.astype("<u2").tobytes(), pd[inside].astype("<u2").tobytes(), times[inside].astype("<u4").tobytes())
+        values = (bucket[part[0]], _planes(pk[token[part]], "<u8"), None if train is None else _planes(train[part], "<u4"), _planes(size, "<u2"), _planes(pd[inside], "<u2"), _planes(times[inside], "<u4"))
         for column, v in zip(out, values):
             column.append(v)
     n = len(out[0])
@@ -269,8 +280,8 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for batch in batches for r in batch.to_pylist()]
     if not rows:
         return
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    train = np.concatenate([np.frombuffer(r["train"], "<u4") for r in rows]).astype(np.int64)
+    keys = [_numbers(r["keys"], "<u8") for r in rows]
+    train = np.concatenate([_numbers(r["train"], "<u4") for r in rows]).astype(np.int64)
     key = np.concatenate(keys)
     by = np.argsort(key, kind="stable")
     new = np.append(True, key[by][1:] != key[by][:-1])
@@ -281,8 +292,8 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = 0
     for r, k in zip(rows, keys):
         c, first = count[first : first + len(k)], first + len(k)
-        size = np.frombuffer(r["pairs"], "<u2")
-        docs, times = np.frombuffer(r["docs"], "<u2").astype(np.int64), np.frombuffer(r["times"], "<u4")
+        size = _numbers(r["pairs"], "<u2")
+        docs, times = _numbers(r["docs"], "<u2").astype(np.int64), _numbers(r["times"], "<u4")
         value, known = np.repeat(np.log10(c + 1.0), size) * times, np.repeat(c > 0, size) * times
         sums.setdefault(r["block"], []).append((docs, value, known))
     out: list[list] = [[], [], []]
@@ -301,7 +312,7 @@ def _rare_grams(top, depth: int):
         asked = [r for r in rows if r["block"] is not None]
         if not asked:
             return
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in asked]
+        keys = [_numbers(r["keys"], "<u8") for r in asked]
         # a gram that training has not seen is one of no occurrences, which changes no other
         key, n = np.concatenate(keys), np.zeros(sum(map(len, keys)), np.int64)
         if len(asked) < len(rows):
@@ -311,8 +322,8 @@ def _rare_grams(top, depth: int):
         cost = context_tree.Subtrees(key, n, depth).costs(top.value)
         sums: dict[int, list] = {}
         for r, k in zip(asked, keys):
-            value = np.repeat(cost[np.searchsorted(key, k)], np.frombuffer(r["pairs"], "<u2")) * np.frombuffer(r["times"], "<u4")
-            sums.setdefault(r["block"], []).append((np.frombuffer(r["docs"], "<u2").astype(np.int64), value))
+            value = np.repeat(cost[np.searchsorted(key, k)], _numbers(r["pairs"], "<u2")) * _numbers(r["times"], "<u4")
+            sums.setdefault(r["block"], []).append((_numbers(r["docs"], "<u2").astype(np.int64), value))
         packed = [np.bincount(*(np.concatenate(x) for x in zip(*parts))).tobytes() for parts in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], ["block", "tree"])
 

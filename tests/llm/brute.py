@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from math import lgamma, log, pi
 
 import numpy as np
 
@@ -69,6 +70,53 @@ def unigram_scores(rows, folds=7, fold=2):
     return {i: (held[i], len(ts), sum(c[x] > 0 for x in ts), n, sum(np.log10((c[x] + 1) / (n + v + 1)) for x in ts)) for i, ts in tokens.items()}
 
 
+def tree_scores(rows, depth, folds=7, fold=2):
+    """id -> log10 probability by context-tree weighting over the bits of words, single spaces and an end byte."""
+    streams = {i: b" ".join(words(t)) + b"\n" for i, t in rows}
+    counts = Counter()  # (context bytes, the latest first; bits of the byte so far; bit)
+    for i, _ in rows:
+        if zlib.crc32(str(i).encode()) % folds != fold:
+            for past, bits in steps(streams[i], depth):
+                for d in range(depth + 1):
+                    for k in range(8):
+                        counts[past[:d], bits[:k], bits[k]] += 1
+    children = {}
+    for past, bits, _ in counts:
+        if past:
+            children.setdefault((past[:-1], bits), set()).add(past)
+    own, weighted, share = {}, {}, {}
+
+    def weigh(past, bits):
+        """log of the weighted probability of a node's training bits."""
+        if (past, bits) not in weighted:
+            a, b = (counts[past, bits, x] for x in "01")
+            block = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(pi)
+            own[past, bits] = (b + 0.5) / (a + b + 1)
+            if len(past) == depth:
+                weighted[past, bits], share[past, bits] = block, 1.0
+            else:
+                below = sum(weigh(c, bits) for c in children.get((past, bits), ()))
+                weighted[past, bits] = np.logaddexp(block, below) - log(2)
+                share[past, bits] = 1 / (1 + np.exp(below - block))
+        return weighted[past, bits]
+
+    def one(past, bits):
+        p, left = 0.0, 1.0
+        for d in range(depth + 1):
+            weigh(past[:d], bits)
+            p += left * share[past[:d], bits] * own[past[:d], bits]
+            left *= 1 - share[past[:d], bits]
+        return p
+
+    return {i: sum(np.log10(one(past, bits[:k]) if bits[k] == "1" else 1 - one(past, bits[:k])) for past, bits in steps(streams[i], depth) for k in range(8)) for i, _ in rows}
+
+
+def steps(stream, depth):
+    """(preceding bytes, the latest first; bits) of each byte; before the start stand end bytes."""
+    padded = b"\n" * depth + stream
+    return [(padded[j : j + depth][::-1], f"{stream[j]:08b}") for j in range(len(stream))]
+
+
 def contaminated(rows, items, size=5):
     """(id, item) pairs by whole passages of twice the longest item's words."""
     part = re.compile(rb"(?:[a-z0-9]|[\x80-\xff])+")

@@ -464,6 +464,16 @@ def test_lm_tree_holds_every_context(spark, monkeypatch):
         assert np.allclose([got[i] for i in range(49)], want, rtol=1e-5)
 
 
+def test_lm_scores_equal_brute_force(spark):
+    """Context-tree weighting by its recursion, bit by bit and node by node, at depth 3."""
+    words = ["ab", "abc", "b", "Ca", "cab"]
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(40)] + [(50, None), (51, "zz \t ab"), (52, "é")]
+    want = brute.tree_scores(rows, 3)
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(make(spark, rows), depth=3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
+
+
 # ---- classifiers ----
 
 
