@@ -1,27 +1,38 @@
 """Exact dedup: tree-merge of sorted digest runs (DataFrame operations only).
 
 Each document's normalised text becomes a SHA-256 digest. Documents are dealt
-into runs by a hash of their id, and a run holds each digest once with its
-smallest id and its count, sorted by digest. Runs then merge ``fan_in`` at a
-time, round after round, until one run (spread over many partitions by digest)
-is left; each merge keeps the smallest id. Going down again, every run learns
-the survivor of its digests from the run it was merged into. A digest with a
-third of all rows is at most ``fan_in`` rows of any merge, so no task ever sees
-the group.
-
-"Verified": the byte length and an independent 64-bit hash of the text are part
-of the merge key at every level, so rows merge only if all three agree.
+into runs by a hash of their id; a run is one array of entries sorted by digest,
+each digest once with its smallest id, its count and the runs it came from.
+Runs then merge in binomial rounds: in round k the ``fan_in`` partners whose
+numbers differ in digit k exchange slices, the partner with digit v taking the
+slices whose digests have digit v there, and each merges what it gets. After the
+last round every digest lies in one run. A run stays as long as it was (slices
+go out as others come in), and a digest with a third of all rows is one entry of
+each run, so ``fan_in`` entries of any merge.
+
+A merge is ``sort_array`` over the concatenated slices: its sort looks for
+ascending stretches first and merges those, so sorted slices are merged, not
+sorted anew. Equal neighbours then become one entry. On the way down each final
+entry names the runs it came from, and these tell their documents.
+
+"Verified": the byte length and an independent 64-bit hash of the text are
+compared with the digest at every level, so entries merge only if all three agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltseek.llm.scratch import free_name, scratch
+from siltseek.llm.scratch import drop_rows, scratch
 
 #: Runs of the six ASCII white-space characters, but for a lone space (which its replacement leaves as it is).
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 KEY = ["digest", "n_bytes", "proof"]
+#: Entries in a run, about; they travel as one row of some 100 bytes an entry.
+ENTRIES = 16_384
+#: Bits of ``lead``, the digest's first digits as a number.
+_LEAD = 60
+_LAST = (1 << 63) - 1
 
 
 def normalised(text: Column) -> Column:
@@ -29,27 +40,59 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _RUNS, " ")
 
 
-def merge_runs(rows: DataFrame, fan_in: int, runs: int) -> DataFrame:
-    """(run, digest key, doc_id) rows to (run, digest key, keep_id, group_size).
+def _same(x: Column, y: Column) -> Column:
+    """Whether two entries (or none) are of one text."""
+    return F.coalesce((x["lead"] == y["lead"]) & (x["digest"] == y["digest"]) & (x["n_bytes"] == y["n_bytes"]) & (x["proof"] == y["proof"]), F.lit(False))
 
-    ``runs`` is the number of leaf runs, a power of ``fan_in``.
-    """
-    level = rows.groupBy("run", *KEY).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    levels = [scratch(level.sortWithinPartitions("run", "digest"), "run0")]
-    width = runs
-    while width > 1:
-        width //= fan_in
-        up = levels[-1].withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
-        up = up.groupBy("run", *KEY).agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"))
-        levels.append(scratch(up.sortWithinPartitions("run", "digest"), f"run{len(levels)}"))
-    known = levels[-1].withColumnRenamed("first_id", "keep_id").withColumnRenamed("n", "group_size")
-    for level in reversed(levels[:-1]):
-        child = level.select(F.col("run").alias("leaf"), F.expr(f"run div {fan_in}").cast("int").alias("run"), *KEY)
-        known = child.join(known, ["run", *KEY]).select(F.col("leaf").alias("run"), *KEY, "keep_id", "group_size")
-    return known
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
+
+def combined(entries: Column, most: int) -> Column:
+    """Sorted entries with those of one text, at most ``most`` neighbours, as one; the smallest id is the first's."""
+
+    def one(x: Column, i: Column) -> Column:
+        equal = F.filter(F.slice(entries, i + 1, most), lambda y: _same(x, y))
+        whole = F.struct(x["lead"].alias("lead"), *[x[c].alias(c) for c in KEY], x["first_id"].alias("first_id"), F.aggregate(equal, F.lit(0).cast("long"), lambda n, y: n + y["n"]).alias("n"), F.flatten(F.transform(equal, lambda y: y["runs"])).alias("runs"))
+        merged = F.when(_same(x, F.get(entries, i + 1)), whole).otherwise(x)
+        return F.when((i == 0) | ~_same(x, F.get(entries, i - 1)), merged)
+
+    return F.filter(F.transform(entries, one), lambda x: x.isNotNull())
+
+
+def merge_runs(leaves: DataFrame, fan_in: int, runs: int) -> DataFrame:
+    """(run, entries) of ``runs`` sorted runs, a power of ``fan_in``, to runs that share no digest."""
+    bits, level = fan_in.bit_length() - 1, leaves
+    for k in range((runs.bit_length() - 1) // bits):
+        digit = lambda x: F.shiftright(x["lead"], _LEAD - bits * (k + 1)).bitwiseAND(F.lit(fan_in - 1).cast("long"))  # noqa: E731, B023
+        dealt = level.select("run", F.explode(F.sequence(F.lit(0), F.lit(fan_in - 1))).alias("v"), "entries")
+        stride = fan_in**k
+        partner = F.col("run") - F.expr(f"run div {stride} % {fan_in}") * stride + F.col("v") * stride
+        slices = dealt.select(partner.cast("int").alias("run"), F.filter("entries", lambda x: digit(x) == F.col("v")).alias("slice")).where(F.size("slice") > 0)
+        merged = slices.groupBy("run").agg(F.sort_array(F.flatten(F.collect_list("slice"))).alias("entries"))
+        level = scratch(merged.select("run", combined(F.col("entries"), fan_in).alias("entries")), f"round{k}")
+    return level
+
+
+def _exact_dedup(docs: DataFrame, id_col: str, text_col: str, fan_in: int, entries: int) -> DataFrame:
+    """``exact_dedup`` with the columns digest and proof instead of text_sha256."""
+    if fan_in < 2 or fan_in & (fan_in - 1):
+        raise ValueError("fan_in must be a power of two")
+    parts, runs = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("_t"))
+    rows = scratch(rows.select("doc_id", F.unhex(F.sha2(F.col("_t"), 256)).alias("digest"), F.octet_length("_t").cast("long").alias("n_bytes"), F.xxhash64("_t").alias("proof")), "digests")
+    while runs < max(parts, rows.count() // entries):
+        runs *= fan_in
+    rows = rows.withColumn("run", F.pmod(F.xxhash64(F.coalesce("doc_id", "proof")), F.lit(runs)).cast("int"))
+    lead = F.conv(F.substring(F.hex("digest"), 1, _LEAD // 4), 16, 10).cast("long")
+    own = rows.groupBy("run", *KEY).agg(F.min(F.coalesce("doc_id", F.lit(_LAST))).alias("first_id"), F.count(F.lit(1)).alias("n"))
+    entry = F.struct(lead.alias("lead"), *KEY, "first_id", "n", F.array("run").alias("runs"))
+    leaves = scratch(own.groupBy("run").agg(F.sort_array(F.collect_list(entry)).alias("entries")), "leaves")
+    final = merge_runs(leaves, fan_in, runs).select(F.explode("entries").alias("e")).where("e.n > 1")
+    known = final.select(F.explode("e.runs").alias("run"), *[f"e.{c}" for c in KEY], F.col("e.first_id").alias("keep_id"), F.col("e.n").alias("group_size"))
+    found = rows.join(known, ["run", *KEY], "left")  # a text that occurs once has no row in `known`
+    keep = F.when(F.col("keep_id").isNull(), F.col("doc_id")).otherwise(F.nullif("keep_id", F.lit(_LAST)))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest", "proof").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, entries: int = ENTRIES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white-space runs become one space.
@@ -59,24 +102,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the surviving id are ``kept``; other columns are not read, so names
     cannot clash; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts, runs = int(spark.conf.get("spark.sql.shuffle.partitions")), 1
-    while runs < parts:
-        runs *= fan_in
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t"))
-    rows = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"), F.unhex(F.sha2(F.col("_t"), 256)).alias("digest"), F.octet_length("_t").cast("long").alias("n_bytes"), F.xxhash64("_t").alias("proof"))
-    rows = scratch(rows, "digests")
-    known = merge_runs(rows, fan_in, runs)
-    return rows.join(known, ["run", *KEY]).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    done = _exact_dedup(docs, id_col, text_col, fan_in, entries)
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    id_, sha = free_name(docs, "gone_id"), free_name(docs, "gone_sha")
-    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(sha))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.unhex(F.sha2(normalised(F.col(text_col)), 256)) == F.col(sha))
-    return docs.join(gone, same, "left_anti")
+    """The documents that stay, with all their columns.
+
+    Null and empty texts are equal to each other, and one of them stays; of rows
+    that repeat an id and text all stay or all go; a null id stays only where its
+    text has no other id; an empty table stays empty.
+    """
+    gone = _exact_dedup(docs, id_col, text_col, 8, ENTRIES).where("NOT kept").select("doc_id", "proof", "digest")
+    text = normalised(F.col(text_col))
+    return drop_rows(docs, gone, F.col(id_col).cast("long"), F.xxhash64(text), F.unhex(F.sha2(text, 256)))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

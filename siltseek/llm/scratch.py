@@ -2,7 +2,7 @@
 
 Executors may be lost at any time, so nothing an operator needs twice lives in
 one executor's memory or on its disk. ``scratch`` writes a frame below the
-folder that ``spark.checkpoint.dir`` names and reads it back; only where the
+folder that ``spark.checkpoint.dir`` names and reads it back; only where a local
 session has no such folder (tests, a laptop) one is made and removed at exit.
 """
 
@@ -13,16 +13,19 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is set."""
+    """The cluster's shared folder; a local session that has none gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="siltseek-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -53,3 +56,22 @@ def free_name(df: DataFrame, base: str) -> str:
     while base in taken:
         base += "_"
     return base
+
+
+#: A list of rows to drop is broadcast up to so many rows (of 50 bytes or so); a longer one is joined by a shuffle.
+GONE_ROWS = 200_000
+
+
+def drop_rows(df: DataFrame, gone: DataFrame, id_: Column, proof: Column, digest: Column) -> DataFrame:
+    """``df`` without the rows named in ``gone`` (doc_id, proof, digest); all columns stay.
+
+    A row is found by its id (without one, by ``proof``, a 64-bit hash of its
+    text) and goes if its ``digest`` is the one named. Only the digests of rows
+    found are computed.
+    """
+    name, proved = free_name(df, "gone_key"), free_name(df, "gone_digest")
+    gone = scratch(gone, "gone").select(F.coalesce("doc_id", "proof").alias(name), F.col("digest").alias(proved))
+    if gone.count() <= GONE_ROWS:
+        gone = F.broadcast(gone)
+    same = (F.coalesce(id_, proof) == F.col(name)) & F.nullif(digest, F.col(proved)).isNull()
+    return df.join(gone, same, "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltseek.llm import decontamination, exact_dedup, lm_scoring, near_dedup, packing, quality, repeated_windows, sharding, token_counts, toxicity
 from siltseek.llm.components import components
+from siltseek.llm.scratch import scratch
 from tests.llm import brute
 from tests.llm.conftest import CLASHES, awkward_rows, make
 
@@ -25,21 +26,38 @@ def rows_of(df):
 # ---- exact dedup ----
 
 
-@pytest.mark.parametrize("fan_in", [2, 4])
-def test_exact_dedup(spark, sf, awkward, fan_in):
+@pytest.mark.parametrize("fan_in,entries", [(2, 100), (4, 5), (8, 16_384)])
+def test_exact_dedup(spark, sf, awkward, fan_in, entries):
     for df in (awkward, documents(spark, sf)):
         rows = rows_of(df)
         norm = {i: re.sub(r"[\x20\x09-\x0d]+", " ", t or "") for i, t in rows}
         groups = {}
         for i, _ in rows:
             groups.setdefault(norm[i], []).append(i)
-        got = exact_dedup.exact_dedup(df, fan_in=fan_in).collect()
+        got = exact_dedup.exact_dedup(df, fan_in=fan_in, entries=entries).collect()
         assert len(got) == len(rows)
         for r in got:
             g = groups[norm[r.doc_id]]
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (min(g), len(g), r.doc_id == min(g), hashlib.sha256(norm[r.doc_id].encode()).hexdigest())
 
 
+def test_runs_merge_in_binomial_rounds(spark):
+    """After all rounds each digest is in one run, each run is sorted, and counts and smallest ids are whole."""
+    rng = np.random.default_rng(3)
+    rows = [(int(run), [(int(x), int(x).to_bytes(8, "big"), 1, int(x) % 97, int(rng.integers(1000)), 1, [int(run)]) for x in np.sort(rng.choice(500, 60, replace=False)) * ((1 << 60) // 500)]) for run in range(16)]
+    df = spark.createDataFrame(rows, "run int, entries array<struct<lead: long, digest: binary, n_bytes: long, proof: long, first_id: long, n: long, runs: array<int>>>")
+    want = {}
+    for run, entries in rows:
+        for lead, *_, first, n, _ in entries:
+            first_id, total, runs = want.get(lead, (first, 0, []))
+            want[lead] = (min(first, first_id), total + n, [*runs, run])
+    for fan_in in (2, 4, 16):
+        got = exact_dedup.merge_runs(df, fan_in, 16).collect()
+        assert all([e.lead for e in r.entries] == sorted({e.lead for e in r.entries}) for r in got)
+        flat = [e for r in got for e in r.entries]
+        assert len(flat) == len(want) and {e.lead: (e.first_id, e.n, sorted(e.runs)) for e in flat} == want
+
+
 def test_exact_dedup_odd_rows(spark, odd, empty):
     got = exact_dedup.exact_dedup(odd).collect()
     assert len(got) == odd.count() and exact_dedup.exact_dedup(empty).count() == 0
@@ -50,9 +68,35 @@ def test_exact_dedup_odd_rows(spark, odd, empty):
     assert {7, 8, 17} & {r.doc_id for r in kept.collect()} == set()
 
 
-def test_exact_dedup_stays_native(spark, sf):
-    plan = exact_dedup.exact_dedup(documents(spark, sf))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_exact_dedup_stays_native(spark, sf, monkeypatch):
+    """No table that is written on the way, nor the result, has a Python stage or an RDD."""
+    plans = []
+    seen = lambda df: plans.append(df._jdf.queryExecution().toString())
+    monkeypatch.setattr(exact_dedup, "scratch", lambda df, tag: (seen(df), scratch(df, tag))[1])
+    seen(exact_dedup.exact_dedup(documents(spark, sf)))
+    assert len(plans) >= 4 and not any(re.search("Python|Pandas|Arrow|ExistingRDD|ObjectConsumer|MapPartitions", p) for p in plans)
+
+
+def test_dropped_rows_are_found_by_broadcast_and_by_shuffle(spark, odd, monkeypatch):
+    from siltseek.llm import scratch as s
+
+    kept = [sorted(map(str, exact_dedup.drop_exact_duplicates(odd).collect()))]
+    monkeypatch.setattr(s, "GONE_ROWS", 0)
+    kept.append(sorted(map(str, exact_dedup.drop_exact_duplicates(odd).collect())))
+    assert kept[0] == kept[1]
+
+
+def test_scratch_refuses_a_local_folder_on_a_cluster():
+    from siltseek.llm.scratch import shared_folder
+
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Cluster:
+        conf, sparkContext = Conf, type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
 
 
 # ---- sharding ----
