@@ -6,14 +6,22 @@ need 2 m ROWS minhashes instead of 2 m^2 ROWS. A pair at similarity s meets
 unless all left or all right sketches differ, which 2 (1 - s^ROWS)^m bounds: with
 m = 10 at s = 0.85 a loss of 1.5e-4, at 0.9 of 4e-6 per pair.
 
-1. Texts become (set size, set digest, sketches); equal sets are one *node*.
-2. Nodes that share a table key are joined to the key's smallest node; the
-   components of these joins are *candidate groups*, which hold every pair met.
+1. Texts become (set size, set digest, sketches, signature); equal sets are one
+   *node*. The signature is two bits of each of 64 minhashes.
+2. Of nodes that share a table key the smallest leads, and is compared with all
+   of them by signature; what agrees firmly follows it, and as long as some
+   follow none, the next one leads. Meetings that agree too little are dropped,
+   and doubtful ones are verified on full sets. What is left closes to
+   *candidate groups*: documents that share no more than boilerplate don't meet
+   in one, however many they are.
 3. A group of bounded size is clustered in one task by exact intersections of
-   all its sets. In a larger group each met (hub, node) pair is verified first,
-   which links nearly all; the nodes left outside the group's main cluster are
-   then compared, in blocks, with every node of the group. No pair is emitted but
-   links that hold.
+   all its sets. In a larger group each met (leader, node) pair is verified
+   first, which links nearly all; the nodes left outside the group's main cluster
+   are then compared, in blocks, with every node of the group. No pair is emitted
+   but links that hold.
+
+Full sets are sets of 64-bit shingle hashes, and equal sets are told by two
+64-bit sums over them and their size.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltseek.llm import bytescan
 from siltseek.llm.components import components, dealt, forest
-from siltseek.llm.scratch import free_name, scratch
+from siltseek.llm.scratch import drop_rows, scratch, spread_join
 
 ROWS = 3
 #: The likeliest loss of a pair just at the threshold; it sets the number of sketches.
@@ -71,8 +79,13 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+#: Minhashes whose two low bits make a node's signature, at most.
+SIGNED = 64
+_PAIRS = np.uint64(0x5555555555555555)
+
+
 def _describe(size: int, sketches: int, rows: int):
-    """mapInArrow: (doc_id, key, text) to (doc_id, key, n_shingles, d1, d2, sketch)."""
+    """mapInArrow: (doc_id, key, text) to (doc_id, key, n_shingles, d1, d2, sketch, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in bytescan.blocks(batches):
@@ -85,42 +98,103 @@ def _describe(size: int, sketches: int, rows: int):
                 digest[0, d] = bytescan.mixed(part ^ _ODD[100]).sum()
                 digest[1, d] = bytescan.mixed(part ^ _ODD[101]).sum()
             sketch = np.zeros((len(counts), 2 * sketches), np.uint64)
+            sig = np.zeros((len(counts), 2), np.uint64)
             if len(x):
-                at = (np.cumsum(counts) - counts)[counts > 0]
+                at, full = (np.cumsum(counts) - counts)[counts > 0], counts > 0
                 for i in range(2 * sketches):
                     half = np.zeros(len(at), np.uint64)
                     for j in range(rows):
-                        half = bytescan.mixed(half + np.minimum.reduceat(x * _ODD[200 + i * rows + j], at))
-                    sketch[counts > 0, i] = half
-            width = 16 * sketches
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(counts), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), flat], ["doc_id", "key", "n_shingles", "d1", "d2", "sketch"])
+                        least = np.minimum.reduceat(x * _ODD[200 + i * rows + j], at)
+                        half = bytescan.mixed(half + least)
+                        if (bit := i * rows + j) < SIGNED:
+                            sig[full, bit // 32] |= (bytescan.mixed(least) & np.uint64(3)) << np.uint64(2 * (bit % 32))
+                    sketch[full, i] = half
+            flat = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * m.shape[1]), len(counts), [None, pa.py_buffer(m.tobytes())]).cast(pa.binary()) for m in (sketch, sig)]
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), *flat], ["doc_id", "key", "n_shingles", "d1", "d2", "sketch", "sig"])
 
     return run
 
 
-_TABLE = "bucket int, keys binary, refs binary, nodes binary, dest int, a array<long>, b array<long>"
-_TABLE_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("nodes", pa.binary()), ("dest", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of ``SIGNED`` two-bit pieces of two signatures (rows of two words) are equal."""
+    differ = x ^ y
+    return SIGNED - np.bitwise_count((differ | (differ >> np.uint64(1))) & _PAIRS).sum(-1, dtype=np.int64)
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hub, node) pairs of nodes with one key, distinct, and which rows come first of their key."""
+def cuts(percent: int, sketches: int, rows: int) -> tuple[int, int]:
+    """(firm, loose): agreements from which a meeting closes as it is, and below which it is dropped.
+
+    A piece agrees at similarity s with probability s + (1 - s) / 4. Loose lies
+    five deviations below what a pair at the threshold has, so of links one in
+    3,000,000 meetings is dropped; firm one deviation below it. Two documents at
+    similarity 0.2 that meet pass as firm in one of 10^9 meetings.
+    """
+    n = min(SIGNED, 2 * sketches * rows)
+    p = (1 + 3 * percent / 100) / 4
+    sd = math.sqrt(n * p * (1 - p))
+    same = SIGNED - n  # pieces that no minhash fills are equal
+    return same + math.floor(n * p - sd), same + math.floor(n * p - 5 * sd)
+
+
+_TABLE = "bucket int, keys binary, refs binary, nodes binary, sigs binary, dest int, a array<long>, b array<long>, firm boolean"
+_TABLE_SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "refs", "nodes", "sigs")], ("dest", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("firm", pa.bool_())])
+#: Bytes of a key that travel, beside its bucket.
+_KEY = 5
+
+
+def meetings(keys: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, firm: int, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, is firm, rows of leaders): what the signatures of nodes with one key say.
+
+    Each key's smallest node leads, and is compared with all of the key's nodes;
+    those that agree firmly follow it. While nodes are left that follow none, the
+    smallest of them leads in turn. Only leaders travel on with the key.
+    """
     by = np.lexsort((nodes, keys))
-    k, v = keys[by], nodes[by]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    hub = v[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else v
-    a, b = hub[~new], v[~new]
-    by_pair = np.lexsort((b, a))
-    a, b = a[by_pair], b[by_pair]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    fresh &= a != b
-    return a[fresh], b[fresh], by[new]
-
-
-def _tables(sketches: int, buckets: int, tasks: int, contract: bool):
-    """mapInArrow: (node, sketch) to the tables' entries by bucket, each key once a batch."""
+    k = keys[by]
+    new = np.append(True, k[1:] != k[:-1])[: len(k)]
+    key = np.cumsum(new) - 1
+    left = np.bincount(key)[key] > 1 if len(key) else new
+    lead = ~left
+    rows = np.flatnonzero(left)
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    while len(rows):
+        waiting = rows[left[rows]]
+        head = waiting[np.append(True, key[waiting][1:] != key[waiting][:-1])]
+        of = np.searchsorted(key[head], key[rows])
+        h, m = by[head[of]], by[rows]
+        agree = agreement(sigs[h], sigs[m])
+        follows = (agree >= firm) | (nodes[h] == nodes[m])
+        tell = (agree >= loose) & (nodes[h] != nodes[m])
+        found.append((nodes[h][tell], nodes[m][tell], follows[tell]))
+        lead[head] = True
+        left[rows[follows]] = False
+        left[head] = False
+        rows = rows[np.bincount(of, left[rows])[of] > 0]
+    x, y, close = (np.concatenate(c) for c in zip(*found))
+    a, b = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((~close, b, a))
+    a, b, close = a[order], b[order], close[order]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[fresh], b[fresh], close[fresh], by[lead]
+
+
+def _links(a: np.ndarray, b: np.ndarray, close: np.ndarray, tasks: int, contract: bool) -> Iterator[list[pa.Array]]:
+    """Firm links, if wanted as a forest, and the loose ones that those don't imply, packed: dest, a, b, firm."""
+    x, y = (a[close], b[close])
+    if contract and len(x):
+        x, y = forest(x, y)
+        by = np.argsort(y)
+        nodes, roots = y[by], x[by]
+        root = lambda v: np.where(nodes[np.minimum(np.searchsorted(nodes, v), len(nodes) - 1)] == v, roots[np.minimum(np.searchsorted(nodes, v), len(nodes) - 1)], v)
+        a, b, close = (c[close | (root(a) != root(b))] for c in (a, b, close))
+    for p, q, firm in ((x, y, True), (a[~close], b[~close], False)):
+        if len(p):
+            links = dealt(p, q, tasks)
+            yield [*links, pa.array([firm] * len(links[0]))]
+
+
+def _tables(sketches: int, buckets: int, tasks: int, contract: bool, firm: int, loose: int):
+    """mapInArrow: (node, sketch, sig) to the tables' entries by bucket, each key's leaders of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,55 +202,72 @@ def _tables(sketches: int, buckets: int, tasks: int, contract: bool):
                 continue
             nodes = batch.column(0).to_numpy()
             half = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(nodes), 2 * sketches)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(nodes), 2)
             keys = np.concatenate([bytescan.mixed(half[:, i] * _ODD[900 + i] + half[:, sketches + j] + _ODD[1000 + i * sketches + j]) for i in range(sketches) for j in range(sketches)])
             owner = np.tile(np.arange(len(nodes)), sketches * sketches)
-            a, b, first = _stars(keys, nodes[owner])
-            if len(a):
-                a, b = forest(a, b) if contract else (a, b)
-                links = dealt(a, b, tasks)
+            a, b, close, lead = meetings(keys, nodes[owner], sig[owner], firm, loose)
+            for links in _links(a, b, close, tasks, contract):
                 n = len(links[0])
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, *links], schema=_TABLE_SCHEMA)
-            keys, owner = keys[first], owner[first]
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4, *links], schema=_TABLE_SCHEMA)
+            keys, owner = keys[lead], owner[lead]
+            bucket = ((keys >> np.uint64(8 * _KEY)) % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
                 used, ref = np.unique(owner[part], return_inverse=True)
-                for column, value in zip(out, (bucket[part[0]], keys[part].tobytes(), ref.astype("<u2" if len(nodes) < 65536 else "<u4").tobytes(), nodes[used].tobytes())):
+                low = keys[part].view(np.uint8).reshape(-1, 8)[:, :_KEY]
+                for column, value in zip(out, (bucket[part[0]], low.tobytes(), ref.astype("<u2" if len(nodes) < 65536 else "<u4").tobytes(), nodes[used].tobytes(), sig[used].tobytes())):
                     column.append(value)
             n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2], schema=_TABLE_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]], pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2, pa.nulls(n, pa.bool_())], schema=_TABLE_SCHEMA)
 
     return run
 
 
-def _meet(tasks: int, contract: bool):
+def _meet(tasks: int, contract: bool, firm: int, loose: int):
     """mapInArrow over a partition of table entries: links, packed by the task that is to have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [], []
+        keys, nodes, sigs = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
-                k = np.frombuffer(row["keys"], np.uint64)
+                low = np.frombuffer(row["keys"], np.uint8).reshape(-1, _KEY)
+                k = np.zeros((len(low), 8), np.uint8)
+                k[:, :_KEY] = low
                 ref = np.frombuffer(row["refs"], f"<u{len(row['refs']) // len(k)}")
-                keys.append(k)
+                keys.append(k.view(np.uint64).ravel() + (np.uint64(row["bucket"]) << np.uint64(8 * _KEY)))
                 nodes.append(np.frombuffer(row["nodes"], np.int64)[ref])
+                sigs.append(np.frombuffer(row["sigs"], np.uint64).reshape(-1, 2)[ref])
         if keys:
-            a, b, _ = _stars(np.concatenate(keys), np.concatenate(nodes))
-            if len(a):
-                a, b = forest(a, b) if contract else (a, b)
-                yield pa.RecordBatch.from_arrays(list(dealt(a, b, tasks)), ["dest", "a", "b"])
+            a, b, close, _ = meetings(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sigs), firm, loose)
+            for links in _links(a, b, close, tasks, contract):
+                yield pa.RecordBatch.from_arrays(links, ["dest", "a", "b", "firm"])
 
     return run
 
 
-def _met(nodes: DataFrame, sketches: int, contract: bool) -> DataFrame:
-    """(node, sketch) to links of nodes that share a table key, packed as (dest, a list, b list)."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = scratch(nodes.select("node", "sketch").mapInArrow(_tables(sketches, 4 * n, n, contract), _TABLE), "tables")
-    here = entries.where("a IS NOT NULL").select("dest", "a", "b")
-    there = entries.where("a IS NULL").select("bucket", "keys", "refs", "nodes").repartition(n, "bucket")
-    return here.unionByName(there.mapInArrow(_meet(n, contract), "dest int, a array<long>, b array<long>"))
+def _met(nodes: DataFrame, sketches: int, percent: int, rows: int, contract: bool) -> DataFrame:
+    """(node, sketch, sig) to links of nodes that share a table key, packed as (dest, a list, b list, firm)."""
+    n, limits = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), cuts(percent, sketches, rows)
+    entries = scratch(nodes.select("node", "sketch", "sig").mapInArrow(_tables(sketches, 2 * n, n, contract, *limits), _TABLE), "tables")
+    here = entries.where("a IS NOT NULL").select("dest", "a", "b", "firm")
+    there = entries.where("a IS NULL").select("bucket", "keys", "refs", "nodes", "sigs").repartition(n, "bucket")
+    return here.unionByName(there.mapInArrow(_meet(n, contract, *limits), "dest int, a array<long>, b array<long>, firm boolean"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets' similarity is at least ``percent``.
+
+    ``sets`` is (node, set). A node that many pairs have as their smaller end
+    goes to as many tasks as there are shuffle partitions, at most.
+    """
+    pairs = scratch(pairs.distinct().join(sets.withColumnRenamed("node", "b"), "b"), "pairs")
+    return spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("other")), ["a"], "b").select("a", "b", "set", "other").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _exploded(links: DataFrame) -> DataFrame:
+    pairs = links.select(F.explode(F.arrays_zip("a", "b")).alias("e"))
+    return pairs.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"))
 
 
 def _sets(size: int, carry: list[str]):
@@ -304,13 +395,11 @@ def _cross(percent: int):
     return run
 
 
-def _cluster_large(nodes: DataFrame, members: DataFrame, sketches: int, percent: int, n: int) -> DataFrame:
+def _cluster_large(nodes: DataFrame, members: DataFrame, sketches: int, percent: int, rows: int, n: int) -> DataFrame:
     """Links within groups too large for a task; ``members`` is (component, node, set)."""
     sets = members.select("node", "set")
-    met = _met(nodes.join(members.select("node"), "node"), sketches, contract=False)
-    met = met.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").distinct()
-    first = met.join(sets.withColumnRenamed("node", "b"), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("other")), "a")
-    links = scratch(first.select("a", "b", "set", "other").mapInArrow(_verify(percent), "a long, b long"), "hub_links")
+    met = _met(nodes.join(members.select("node"), "node"), sketches, percent, rows, contract=False)
+    links = scratch(_verified(_exploded(met), sets, percent), "hub_links")
     part_of = components(links).withColumnRenamed("component", "part_of")
     labelled = members.select("component", "node").join(nodes.select("node", "n_shingles"), "node").join(part_of, "node", "left").withColumn("part_of", F.coalesce("part_of", "node"))
     labelled = scratch(labelled, "labelled")
@@ -349,40 +438,57 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that are not their component's smallest id; all columns stay."""
-    name = free_name(docs, "gone_key")
-    gone = _near_dedup(docs, words, percent, id_col, text_col, ROWS, GROUP_NODES).where("NOT kept").select(F.col("key").alias(name))
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(gone, key == F.col(name), "left_anti")
+    """The documents without those that are not their component's smallest id; all columns stay.
+
+    Null, empty and blank texts are like nothing and all stay; a null id stays
+    only where its component has no other id; rows that repeat an id and text all
+    stay or all go; an empty table stays empty.
+    """
+    gone = _near_dedup(docs, words, percent, id_col, text_col, ROWS, GROUP_NODES).where("NOT kept").select("doc_id", F.col("key").alias("proof"), F.col("key").alias("digest"))
+    id_ = F.col(id_col).cast("long")
+    key = F.xxhash64(id_, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return drop_rows(docs, gone, id_, key, key)
+
+
+def _texts_of(base: DataFrame, nodes: DataFrame, wanted: DataFrame, carry: list[str], words: int) -> DataFrame:
+    """The sets of ``wanted`` (node and columns to carry), from the text of each node's first document."""
+    rows = wanted.join(nodes.select("node", "doc_id", "key"), "node")
+    texts = base.join(rows, ["doc_id", "key"]).dropDuplicates(["node"])
+    schema = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in carry)
+    return scratch(texts.select(*carry, "text").mapInArrow(_sets(words, carry), f"{schema}, set binary"), "sets")
 
 
 def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, rows: int, group_nodes: int) -> DataFrame:
     n, sketches = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sketches_for(percent, rows)
     id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.coalesce(id_, F.lit(_LAST)).alias("doc_id"), F.xxhash64(id_, text).alias("key"), text.alias("text"))
-    seen = scratch(base.mapInArrow(_describe(words, sketches, rows), "doc_id long, key long, n_shingles long, d1 long, d2 long, sketch binary"), "described")
+    seen = scratch(base.mapInArrow(_describe(words, sketches, rows), "doc_id long, key long, n_shingles long, d1 long, d2 long, sketch binary, sig binary"), "described")
     same = ["d1", "d2", "n_shingles"]
-    nodes = seen.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.min("key").alias("node"), F.first("sketch").alias("sketch"))
-    nodes = scratch(nodes, "nodes")
-    groups = components(_met(nodes, sketches, contract=True))
+    nodes = seen.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
+    # numbers, not hashes: no two nodes share one; the written table fixes them
+    nodes = scratch(nodes.select(F.monotonically_increasing_id().alias("node"), *same, "first.doc_id", "first.key", "sketch", "sig"), "nodes")
+    met = scratch(_met(nodes, sketches, percent, rows, contract=True), "met")
+    doubtful = scratch(_exploded(met.where("NOT firm")).distinct(), "doubtful")
+    sets = _texts_of(base, nodes, doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct(), ["node"], words)
+    close = _verified(doubtful, sets, max(1, 100 - 3 * (100 - percent)))
+    packed = close.select(F.pmod(F.xxhash64("b"), F.lit(n)).cast("int").alias("dest"), F.array("b").alias("a"), F.array("a").alias("b"))
+    groups = components(met.where("firm").select("dest", "a", "b").unionByName(packed))
     sized = groups.join(nodes.select("node", "n_shingles"), "node")
     size = sized.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
     large = scratch(size.select("component", ((F.col("m") > group_nodes) | (F.col("s") > GROUP_SHINGLES)).alias("large")), "sizes")
-    wanted = groups.join(large, "component").select(F.col("node").alias("key"), "component", "large")
-    texts = base.select("key", "text").join(wanted, "key").dropDuplicates(["key"])
-    with_sets = scratch(texts.select("component", F.col("key").alias("node"), "large", "text").mapInArrow(_sets(words, ["component", "node", "large"]), "component long, node long, large boolean, set binary"), "sets")
+    wanted = spread_join(scratch(groups, "groups"), large, ["component"], "node")
+    with_sets = _texts_of(base, nodes, wanted, ["component", "node", "large"], words)
     small = with_sets.where("NOT large").repartition(n, "component").sortWithinPartitions("component").select("component", "node", "set")
     links = small.mapInArrow(_cluster(percent), "a long, b long")
     if not large.where("large").isEmpty():
-        more = components(_cluster_large(nodes, with_sets.where("large").select("component", "node", "set"), sketches, percent, n))
+        more = components(_cluster_large(nodes, with_sets.where("large").select("component", "node", "set"), sketches, percent, rows, n))
         links = links.unionByName(more.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
     # within a task or by `components` each link already leads to its root
     root = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    placed = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    placed = scratch(placed.join(ids, "root").select(*[F.col(c).alias(f"_{c}") for c in same], "component_id"), "placed")
-    match = [seen[c] == placed[f"_{c}"] for c in same]
-    done = seen.join(placed, match, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rooted = scratch(nodes.select("node", "doc_id", *same).join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    placed = spread_join(rooted.drop("doc_id"), ids, ["root"], "node").select(*same, "component_id")
+    done = spread_join(seen.select("doc_id", "key", *same), scratch(placed, "placed"), same, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return done.select("key", F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_LAST)).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 

@@ -75,3 +75,16 @@ def drop_rows(df: DataFrame, gone: DataFrame, id_: Column, proof: Column, digest
         gone = F.broadcast(gone)
     same = (F.coalesce(id_, proof) == F.col(name)) & F.nullif(digest, F.col(proved)).isNull()
     return df.join(gone, same, "left_anti")
+
+
+def spread_join(df: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other``, which has each of ``keys`` once; ``df`` is read twice.
+
+    The rows of a key are dealt over as many cells as there are shuffle
+    partitions, by a hash of ``by``, and ``other``'s row goes to the cells that
+    want it: a key with a third of all rows is no task's alone.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    wanted = dealt.select(*keys, "_cell").distinct().join(other, keys)
+    return dealt.join(wanted, [*keys, "_cell"], how).drop("_cell")

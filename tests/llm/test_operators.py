@@ -290,6 +290,43 @@ def test_near_dedup_chain_of_links(spark):
         assert got == {i: c for (i, _), (_, c) in zip(rows, want)}
 
 
+def test_boilerplate_makes_no_candidate_groups(spark, monkeypatch):
+    """A third of every text is the same; near copies among them are found, and the groups hold little else."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(5000)])
+    common = rng.choice(words, 60).tolist()
+    rows = []
+    for i in range(1500):
+        own = rng.choice(words, 120).tolist()
+        rows.append((i, " ".join([*common, *own])))
+        if i % 10 == 0:
+            own[7] = "changed"
+            rows.append((5000 + i, " ".join([*common, *own])))
+    sizes = []
+
+    def counted(links):
+        found = scratch(components(links), "counted")
+        sizes.extend(r["count"] for r in found.groupBy("component").count().collect())
+        return found
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(make(spark, rows), 3, 85).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert len(sizes) <= 170 and max(sizes) <= 4
+
+
+def test_meetings_lead_as_long_as_nodes_follow_none():
+    rng = np.random.default_rng(10)
+    sig = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64)
+    sig[3] = sig[1]
+    sig[4] = sig[1]
+    sig[4, 0] ^= np.uint64(0xFFFF)  # eight pieces differ
+    nodes = np.array([10, 11, 12, 13, 14, 10])
+    a, b, firm, lead = near_dedup.meetings(np.array([7, 7, 7, 7, 7, 9], np.uint64), nodes, sig, 60, 50)
+    assert set(zip(a.tolist(), b.tolist(), firm.tolist())) == {(11, 13, True), (11, 14, False), (13, 14, False)}
+    assert set(lead) == {0, 1, 2, 4, 5}  # one follows; the key of one node leads alone
+
+
 def test_near_dedup_odd_rows(spark, odd, empty):
     assert near_dedup.near_dedup(empty).count() == 0
     got = near_dedup.near_dedup(odd).collect()
