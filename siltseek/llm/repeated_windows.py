@@ -11,21 +11,26 @@ one gram stands for a run of neighbouring windows (a *span*).
    their first occurrence; the windows of the others are repeated. One entry per
    (task block, span) travels on, so a passage in every document is one entry a
    block, not one a document.
-2. Entries meet by gram. A gram seen once is done: its windows occur once. Equal
-   spans keep the first again. Only grams with several *different* spans are left.
-3. The bytes of those spans are fetched, and their windows sorted by most
+2. Grams with very many entries (by a count of a fixed share of all entries, which
+   decides nothing but the way they take) are dealt by window instead of by gram:
+   each block keeps the first of its equal windows, then each of some cells does,
+   then all cells' firsts meet. No gram's entries meet in one task.
+3. The other entries meet by gram. A gram seen once is done: its windows occur
+   once. Equal spans keep the first again. Only grams with several *different*
+   spans are left.
+4. The bytes of those spans are fetched, and their windows sorted by most
    significant digit, 8 bytes a pass, to depth ``width`` and no further; windows
    that are alone in their group leave after each pass. What is left in one
-   group is one window's text, compared byte for byte, not by hash. Grams with
-   very many different spans are dealt by window instead of by gram.
+   group is one window's text, compared byte for byte, not by hash.
 
-Spans are compared by two 64-bit hashes of different substrings (128 bits).
+Spans and windows that are dealt by themselves are compared by two 64-bit hashes
+of different substrings (128 bits) and their gram's place.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,19 @@ from siltseek.llm import bytescan
 from siltseek.llm.scratch import scratch
 
 WIDTH, GRAM = 100, 24
-#: A gram with more different spans than this has its windows dealt one by one.
+#: A gram with more entries than this, and than one in ``HOT`` of all, has its windows dealt one by one.
 SPREAD = 4096
+#: So many grams may be dealt by window, about; their hashes are broadcast (8 bytes each).
+HOT = 1 << 20
+#: Cells in which equal windows meet before they all do.
+CELLS = 64
 _LAST = (1 << 63) - 1
 _ENTRY = ["h", "g", "doc", "at", "before", "more"]
 _KINDS = ["<u8", "<u8", "<u4", "<i8", "u1", "u1"]
-_ENTRIES = "bucket int, doc_ids binary, keys binary, " + ", ".join(f"{c} binary" for c in _ENTRY) + ", key long, starts array<long>, ends array<long>"
+_INTERVALS = "doc_id long, key long, starts array<long>, ends array<long>"
+_ENTRIES = "bucket int, doc_ids binary, keys binary, " + ", ".join(f"{c} binary" for c in _ENTRY) + f", {_INTERVALS}"
+_LIST = pa.list_(pa.int64())
+_SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("doc_ids", "keys", *_ENTRY)], ("doc_id", pa.int64()), ("key", pa.int64()), ("starts", _LIST), ("ends", _LIST)])
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -108,126 +120,205 @@ def _first_of_equals(columns: list[np.ndarray], order: list[np.ndarray]) -> tupl
     return by, new, again
 
 
-def _interval_rows(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
-    """One row per key with its intervals, touching ones merged."""
-    by = np.lexsort((starts, keys))
-    keys, starts, ends = keys[by], starts[by].astype(np.int64), ends[by].astype(np.int64)
-    one, which = np.unique(keys, return_inverse=True)
-    if len(keys):
-        shift = which * (int(ends.max()) + 1)  # keeps the running maximum within a key
+def _interval_rows(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+    """One row per document (id and key) with its intervals, touching ones merged."""
+    by = np.lexsort((starts, docs, keys))
+    docs, keys, starts, ends = docs[by], keys[by], starts[by].astype(np.int64), ends[by].astype(np.int64)
+    own = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))[: len(keys)]
+    which = np.cumsum(own) - 1
+    docs, keys = docs[own], keys[own]
+    if len(which):
+        shift = which * (int(ends.max()) + 1)  # keeps the running maximum within a document
         reach = np.maximum.accumulate(ends + shift)
-        new = np.ones(len(keys), bool)
-        new[1:] = (which[1:] != which[:-1]) | (starts[1:] + shift[1:] > reach[:-1])
+        new = np.ones(len(which), bool)
+        new[1:] = own[1:] | (starts[1:] + shift[1:] > reach[:-1])
         at = np.flatnonzero(new)
         ends, starts, which = np.maximum.reduceat(ends, at), starts[at], which[at]
-    counts = np.bincount(which, minlength=len(one))
-    return {"key": pa.array(one, pa.int64()), "starts": bytescan.list_column(starts, counts, pa.int64()), "ends": bytescan.list_column(ends, counts, pa.int64())}
+    counts = np.bincount(which, minlength=len(keys))
+    return {"doc_id": pa.array(docs, pa.int64()), "key": pa.array(keys, pa.int64()), "starts": bytescan.list_column(starts, counts, pa.int64()), "ends": bytescan.list_column(ends, counts, pa.int64())}
+
+
+def _batch(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The columns, and nulls for the rest of the schema."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def windows_of(s: dict[str, np.ndarray], data: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """Each window of the spans as a span of its own, under a hash of itself instead of its gram's."""
+    n = s["more"].astype(np.int64) + 1
+    span = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+    at = s["at"][span] + step
+    before = s["before"][span] - step  # each window of a span holds the span's gram
+    g = bytescan.Sums(data).hashes(at, at + width)
+    h = bytescan.mixed(s["h"][span] ^ bytescan.mixed(g + before.astype(np.uint64)))
+    return {"h": h, "g": g, "doc": s["doc"][span], "at": at, "before": before.astype("u1"), "more": np.zeros(len(at), "u1")}
+
+
+def _packed(s: dict[str, np.ndarray], doc_ids: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries as one row a bucket; ``doc`` of an entry is a row of ``doc_ids`` and ``keys``."""
+    bucket = (s["h"] % np.uint64(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    out: list[list] = [[] for _ in range(9)]
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+        docs, ref = np.unique(s["doc"][part], return_inverse=True)
+        values = [bucket[part[0]], doc_ids[docs].astype("<i8").tobytes(), keys[docs].astype("<i8").tobytes()]
+        values += [(ref if c == "doc" else s[c][part]).astype(k).tobytes() for c, k in zip(_ENTRY, _KINDS)]
+        for column, value in zip(out, values):
+            column.append(value)
+    return _batch(_SCHEMA, {f.name: pa.array(c, f.type) for f, c in zip(_SCHEMA, out)})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """All entries of packed rows, each with its document's id and key."""
+    parts: dict[str, list[np.ndarray]] = {"doc_id": [np.zeros(0, "<i8")], "key": [np.zeros(0, "<i8")]} | {c: [np.zeros(0, k)] for c, k in zip(_ENTRY, _KINDS) if c != "doc"}
+    for batch in batches:
+        for row in batch.to_pylist():
+            ref = np.frombuffer(row["doc"], "<u4")
+            parts["doc_id"].append(np.frombuffer(row["doc_ids"], "<i8")[ref])
+            parts["key"].append(np.frombuffer(row["keys"], "<i8")[ref])
+            for c, k in zip(_ENTRY, _KINDS):
+                if c != "doc":
+                    parts[c].append(np.frombuffer(row[c], k))
+    return {c: np.concatenate(parts.pop(c)) for c in list(parts)}
+
+
+def _later(s: dict[str, np.ndarray], width: int) -> tuple[dict[str, np.ndarray], dict[str, pa.Array]]:
+    """(the first of equal spans, the intervals of the others)."""
+    by, first, again = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [s["doc_id"], s["key"], s["at"]])
+    s = {c: v[by] for c, v in s.items()}
+    gone = _interval_rows(s["doc_id"][again], s["key"][again], s["at"][again], s["at"][again] + s["more"][again] + width)
+    return {c: v[first] for c, v in s.items()}, gone
 
 
-def _deal_spans(buckets: int, width: int):
-    """mapInArrow: (doc_id, key, text) to entries by bucket, and intervals repeated within a block."""
-    schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("doc_ids", "keys", *_ENTRY)], ("key", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+def _deal_spans(buckets: int, width: int, hot=None):
+    """mapInArrow: (doc_id, key, text) to entries by bucket, and intervals repeated within a block.
+
+    With ``hot`` grams, only their windows are dealt, one by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in bytescan.blocks(batches):
+        # a window is some 100 bytes of work, so blocks of windows are smaller
+        for rows, data, offsets in bytescan.blocks(batches, limit=bytescan.BLOCK if hot is None else bytescan.BLOCK // 4):
             s = sliced_spans(data, offsets, width)
+            if hot is not None:
+                s = {c: v[np.isin(s["h"], hot.value)] for c, v in s.items()}
+                s = windows_of(s, data, width)
             if not len(s["h"]):
                 continue
             doc_ids, keys = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             s["at"] = s["at"] - offsets[s["doc"]]
-            by, first, again = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [doc_ids[s["doc"]], keys[s["doc"]], s["at"]])
-            s = {c: v[by] for c, v in s.items()}
-            if again.any():
-                found = _interval_rows(keys[s["doc"][again]], s["at"][again], s["at"][again] + s["more"][again] + width)
-                n = len(found["key"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, schema.field(c).type) if c not in found else found[c] for c in schema.names], schema=schema)
-            s = {c: v[first] for c, v in s.items()}
-            bucket = (s["h"] % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            out: list[list] = [[] for _ in range(9)]
-            for part in np.split(by, cuts):
-                docs, ref = np.unique(s["doc"][part], return_inverse=True)
-                values = [bucket[part[0]], doc_ids[docs].astype("<i8").tobytes(), keys[docs].astype("<i8").tobytes()]
-                values += [(ref if c == "doc" else s[c][part]).astype(k).tobytes() for c, k in zip(_ENTRY, _KINDS)]
-                for column, value in zip(out, values):
-                    column.append(value)
-            arrays = [pa.array(c, schema.field(i).type) for i, c in enumerate(out)]
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(n, schema.field(c).type) for c in ("key", "starts", "ends")]], schema=schema)
+            s, gone = _later(s | {"doc_id": doc_ids[s["doc"]], "key": keys[s["doc"]]}, width)
+            yield _batch(_SCHEMA, gone)
+            yield _packed(s, doc_ids, keys, buckets)
+
+    return run
+
+
+def _collapse(buckets: int, width: int):
+    """mapInArrow over a cell's entries: the first of equal ones as entries again, the others' intervals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = _unpacked(batches)
+        if len(s["h"]):
+            s, gone = _later(s, width)
+            yield _batch(_SCHEMA, gone)
+            yield _packed(s | {"doc": np.arange(len(s["h"]))}, s["doc_id"], s["key"], buckets)
 
     return run
 
 
-def _meet_by_gram(width: int, spread: int):
+#: One in so many entries is counted to find the grams with very many.
+_COUNTED = 16
+
+
+def _counted(share: int):
+    """mapInArrow: (doc_ids, doc, h, g, at) of entries to (h, n) of one in ``share`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, g, at = np.frombuffer(row["h"], "<u8"), np.frombuffer(row["g"], "<u8"), np.frombuffer(row["at"], "<i8")
+                doc = np.frombuffer(row["doc_ids"], "<u8")[np.frombuffer(row["doc"], "<u4")]
+                drawn = bytescan.mixed(bytescan.mixed(g ^ doc) + at.view(np.uint64)) % np.uint64(share) == 0
+                one, n = np.unique(h[drawn], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return run
+
+
+def hot_grams(entries: DataFrame, spread: int, most: int = HOT) -> np.ndarray:
+    """The grams with more than about ``spread`` entries and one in ``most`` of all; at most ``most``, about."""
+    total = entries.agg(F.coalesce(F.sum(F.octet_length("more")), F.lit(0))).first()[0]  # a byte each
+    least = max(spread, total // most)
+    share = _COUNTED if least >= 64 * _COUNTED else 1
+    drawn = entries.select("doc_ids", "doc", "h", "g", "at").mapInArrow(_counted(share), "h long, n long")
+    found = drawn.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * share > least).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _without(hot):
+    """mapInArrow: packed entries less those of hot grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                keep = ~np.isin(np.frombuffer(row["h"], "<u8"), hot.value)
+                if not keep.all():
+                    for c, k in zip(_ENTRY, _KINDS):
+                        row[c] = np.frombuffer(row[c], k)[keep].tobytes()
+            yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    return run
+
+
+_MET = f"{_INTERVALS}, gram array<long>, before array<short>"
+_MET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", _LIST), ("ends", _LIST), ("gram", _LIST), ("before", pa.list_(pa.int16()))])
+
+
+def _meet_by_gram(width: int):
     """mapInArrow over a partition of entries: repeated intervals, and wanted spans.
 
     Intervals to remove have a null ``gram``; rows with one ask for the bytes of
-    spans, ``wide`` where each window is to travel by itself.
+    spans.
     """
-    schema = pa.schema([("key", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("gram", pa.list_(pa.int64())), ("before", pa.list_(pa.int16())), ("wide", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[np.ndarray]] = {c: [] for c in ["doc_id", "key", *_ENTRY]}
-        for batch in batches:
-            for row in batch.to_pylist():
-                ref = np.frombuffer(row["doc"], "<u4")
-                parts["doc_id"].append(np.frombuffer(row["doc_ids"], "<i8")[ref])
-                parts["key"].append(np.frombuffer(row["keys"], "<i8")[ref])
-                for c, k in zip(_ENTRY, _KINDS):
-                    parts[c].append(np.frombuffer(row[c], k))
-        if not parts["h"]:
+        s = _unpacked(batches)
+        if not len(s["h"]):
             return
-        s = {c: np.concatenate(parts.pop(c)) for c in ["h", "doc_id", "key", "g", "at", "before", "more"]}
         by = np.argsort(s["h"])
         h = s["h"][by]
         twin = np.zeros(len(h), bool)
         twin[1:] = h[1:] == h[:-1]
         twin[:-1] |= twin[1:]
-        s = {c: v[by[twin]] for c, v in s.items()}
-        by, first, again = _first_of_equals([s["h"], s["g"], s["before"], s["more"]], [s["doc_id"], s["key"], s["at"]])
-        s = {c: v[by] for c, v in s.items()}
-        gone = _interval_rows(s["key"][again], s["at"][again], s["at"][again] + s["more"][again] + width)
-        n = len(gone["key"])
-        yield pa.RecordBatch.from_arrays([gone["key"], gone["starts"], gone["ends"], *[pa.nulls(n, schema.field(c).type) for c in schema.names[3:]]], schema=schema)
-        s = {c: v[first] for c, v in s.items()}
+        s, gone = _later({c: v[by[twin]] for c, v in s.items()}, width)
+        yield _batch(_MET_SCHEMA, gone)
         _, which, counts = np.unique(s["h"], return_inverse=True, return_counts=True)
-        several = counts[which] > 1
-        wide = (counts[which] > spread)[several]
-        s = {c: v[several] for c, v in s.items()}
-        by = np.lexsort((s["at"], s["key"]))
-        s, wide = {c: v[by] for c, v in s.items()}, wide[by]
-        one, counts = np.unique(s["key"], return_counts=True)
-        lists = [(s["at"], pa.int64()), (s["at"] + s["more"] + width, pa.int64()), (s["h"].view(np.int64), pa.int64()), (s["before"], pa.int16()), (wide, pa.bool_())]
-        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), *[bytescan.list_column(v, counts, k) for v, k in lists]], schema=schema)
+        s = {c: v[counts[which] > 1] for c, v in s.items()}
+        by = np.lexsort((s["at"], s["doc_id"], s["key"]))
+        s = {c: v[by] for c, v in s.items()}
+        own = np.flatnonzero(np.append(True, (s["key"][1:] != s["key"][:-1]) | (s["doc_id"][1:] != s["doc_id"][:-1]))[: len(by)])
+        counts = np.diff(np.append(own, len(by)))
+        lists = {"starts": (s["at"], pa.int64()), "ends": (s["at"] + s["more"] + width, pa.int64()), "gram": (s["h"].view(np.int64), pa.int64()), "before": (s["before"], pa.int16())}
+        yield _batch(_MET_SCHEMA, {"doc_id": pa.array(s["doc_id"][own]), "key": pa.array(s["key"][own])} | {c: bytescan.list_column(v, counts, k) for c, (v, k) in lists.items()})
 
     return run
 
 
-def _fetch(width: int):
-    """mapInArrow: (doc_id, key, text, starts, ends, gram, before, wide) to span bytes by route."""
-    names = ["route", "doc_id", "key", "at", "phase", "span"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in bytescan.blocks(iter([batch])):
-                out: list[list] = [[] for _ in names]
-                wanted = [rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key", "starts", "ends", "gram", "before", "wide")]
-                for i, (doc_id, key, starts, ends, grams, befores, wides) in enumerate(zip(*wanted)):
-                    text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    for a, e, g, b, wide in zip(starts, ends, grams, befores, wides):
-                        if wide:
-                            for w in range(a, e - width + 1):
-                                span = text[w : w + width]
-                                route = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little", signed=True)
-                                for column, value in zip(out, (route, doc_id, key, w, 0, span)):
-                                    column.append(value)
-                        else:
-                            for column, value in zip(out, (g, doc_id, key, a, 256 - b, text[a:e])):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary()))], names)
-
-    return run
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (doc_id, key, text, starts, ends, gram, before) to span bytes by route."""
+    for batch in batches:
+        for rows, data, offsets in bytescan.blocks(iter([batch])):
+            get = lambda c: rows.column(rows.schema.get_field_index(c))  # noqa: E731, B023
+            counts = get("starts").value_lengths().to_numpy()
+            row = np.repeat(np.arange(rows.num_rows), counts)
+            starts, ends, gram, before = (get(c).flatten().to_numpy() for c in ("starts", "ends", "gram", "before"))
+            text = data.tobytes()
+            spans_ = [text[a:e] for a, e in zip((starts + offsets[row]).tolist(), (ends + offsets[row]).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), get("doc_id").take(pa.array(row)), get("key").take(pa.array(row)), pa.array(starts), pa.array(256 - before, pa.int16()), pa.array(spans_, pa.binary())], ["route", "doc_id", "key", "at", "phase", "span"])
 
 
 def radix_groups(buffer: np.ndarray, window: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +373,8 @@ def _sort_windows(width: int):
         span, start = span[live], (at[span] + step)[live]
         by, _, later = _first_of_equals([group], [doc_id[span], key[span], start])
         again = by[later]
-        found = _interval_rows(key[span[again]], start[again], start[again] + width)
-        yield pa.RecordBatch.from_arrays([found["key"], found["starts"], found["ends"]], ["key", "starts", "ends"])
+        found = _interval_rows(doc_id[span[again]], key[span[again]], start[again], start[again] + width)
+        yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     return run
 
@@ -335,16 +426,26 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     id_ = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(id_, F.lit(_LAST)).alias("doc_id"), F.xxhash64(id_, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     entries = scratch(rows.mapInArrow(_deal_spans(4 * n, width), _ENTRIES), "entries")
-    local = entries.where("key IS NOT NULL").select("key", "starts", "ends")
-    met = entries.where("key IS NULL").drop("key", "starts", "ends").repartition(n, "bucket")
-    met = scratch(met.mapInArrow(_meet_by_gram(width, spread), "key long, starts array<long>, ends array<long>, gram array<long>, before array<short>, wide array<boolean>"), "met")
-    wanted = met.where("gram IS NOT NULL").groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "gram", "before", "wide")])
-    fetched = rows.join(wanted, "key").select("doc_id", "key", "text", "starts", "ends", "gram", "before", "wide")
-    fetched = fetched.mapInArrow(_fetch(width), "route long, doc_id long, key long, at long, phase short, span binary").repartition(n, "route")
-    sorted_ = fetched.mapInArrow(_sort_windows(width), "key long, starts array<long>, ends array<long>")
-    every = local.unionByName(met.where("gram IS NULL").select("key", "starts", "ends")).unionByName(sorted_)
-    removed = every.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    done = rows.join(removed, "key", "left").select("doc_id", "text", "starts", "ends")
+    intervals, packed = ["doc_id", "key", "starts", "ends"], ["bucket", "doc_ids", "keys", *_ENTRY]
+    every = [entries.where("key IS NOT NULL").select(*intervals)]
+    entries = entries.where("key IS NULL").select(*packed)
+    hot = hot_grams(entries, spread)
+    if len(hot):
+        shared = spark.sparkContext.broadcast(hot)
+        windows = scratch(rows.mapInArrow(_deal_spans(4 * n, width, shared), _ENTRIES), "windows")
+        every.append(windows.where("key IS NOT NULL").select(*intervals))
+        cell = F.pmod(F.xxhash64("doc_ids", "at"), F.lit(CELLS))
+        firsts = scratch(windows.where("key IS NULL").select(*packed).repartition(n, "bucket", cell).mapInArrow(_collapse(4 * n, width), _ENTRIES), "cells")
+        every.append(firsts.where("key IS NOT NULL").select(*intervals))
+        schema = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in packed)
+        entries = entries.mapInArrow(_without(shared), schema).unionByName(firsts.where("key IS NULL").select(*packed))
+    met = scratch(entries.repartition(n, "bucket").mapInArrow(_meet_by_gram(width), _MET), "met")
+    wanted = met.where("gram IS NOT NULL").groupBy("doc_id", "key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "gram", "before")])
+    fetched = rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "starts", "ends", "gram", "before")
+    fetched = fetched.mapInArrow(_fetch, "route long, doc_id long, key long, at long, phase short, span binary").repartition(n, "route")
+    every += [met.where("gram IS NULL").select(*intervals), fetched.mapInArrow(_sort_windows(width), _INTERVALS)]
+    removed = reduce(DataFrame.unionByName, every).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    done = rows.join(removed, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ends")
     done = done.mapInArrow(_apply(), "doc_id long, n_bytes long, n_removed long, removed array<array<long>>, kept binary")
     return done.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
 

@@ -339,11 +339,12 @@ def test_near_dedup_odd_rows(spark, odd, empty):
 # ---- repeated windows ----
 
 
-def test_repeated_windows(spark, sf, awkward):
-    for df in (awkward.where("length(text) < 50000 OR text IS NULL"), documents(spark, sf)):
+@pytest.mark.parametrize("spread", [2, 4096])
+def test_repeated_windows(spark, sf, awkward, spread):
+    for df in (awkward, documents(spark, sf)):
         rows = rows_of(df)
         want = brute.removed_windows(rows)
-        got = repeated_windows.remove_repeats(df).collect()
+        got = repeated_windows.remove_repeats(df, spread=spread).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
@@ -364,6 +365,21 @@ def test_repeated_windows_spread_and_slices(spark):
     assert windows(whole) == windows(cut) == list(range(len(data) - 99))
 
 
+def test_a_passage_in_every_document_is_no_tasks_alone(spark, monkeypatch):
+    """The grams at a common passage's ends stand in as many different spans as there are documents."""
+    rng = np.random.default_rng(12)
+    passage = "a passage that stands in every document of the corpus, word for word, between texts that differ all over. " * 2
+    noise = lambda: bytes(rng.integers(97, 123, 150).tolist()).decode()
+    rows = [(i, noise() + " " + passage + noise()) for i in range(600)]
+    written = {}
+    monkeypatch.setattr(repeated_windows, "scratch", lambda df, tag: written.setdefault(tag, scratch(df, tag)))
+    got = repeated_windows.remove_repeats(make(spark, rows), spread=100).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got} == brute.removed_windows(rows)
+    most = lambda tag: np.unique(np.concatenate([np.frombuffer(r.h, "<u8") for r in written[tag].where("key IS NULL").collect()]), return_counts=True)[1].max()
+    # a window is an entry of a block, then of a cell at most, as its gram was of a document
+    assert most("entries") >= 500 and most("windows") <= 20 and most("cells") <= repeated_windows.CELLS
+
+
 def test_repeated_windows_odd_rows(odd, empty):
     assert repeated_windows.remove_repeats(empty).count() == 0
     got = repeated_windows.remove_repeats(odd).collect()
