@@ -22,7 +22,6 @@ from siltseek.llm.labelled import LAST, held_out, labelled_sample, training_shar
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 BUCKETS = 1 << BITS
-PADDING = 50
 _BLOCK = 1 << 20
 
 
@@ -55,8 +54,7 @@ class Bags:
     """The weight of each distinct subword in its document's mean.
 
     A subword counts 1 + ln(occurrences), so that a word repeated a thousand
-    times does not drown the rest, and each document also holds ``PADDING``
-    subwords whose embedding is zero, so that few words say little.
+    times does not drown the rest. Rows are sorted by document.
     """
 
     doc: np.ndarray
@@ -71,15 +69,13 @@ class Bags:
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
         doc, bucket = key[at] >> BITS, key[at] & (BUCKETS - 1)
         weight = 1 + np.log(np.diff(np.append(at, len(key))))
-        total = np.bincount(doc, weight, len(offsets) - 1) + PADDING
+        total = np.bincount(doc, weight, len(offsets) - 1)
         return cls(doc.astype(np.int32), bucket.astype(np.int32), (weight / total[doc]).astype(np.float32), len(offsets) - 1)
 
     def times(self, per_bucket: np.ndarray) -> np.ndarray:
+        """Each document's mean of a number per subword; without subwords 0."""
         return np.bincount(self.doc, self.share * per_bucket[self.bucket], self.docs)
 
-    def transposed(self, per_doc: np.ndarray) -> np.ndarray:
-        return np.bincount(self.bucket, self.share * per_doc[self.doc], BUCKETS)
-
 
 @dataclass
 class Model:
@@ -104,41 +100,69 @@ def bags_of(texts: pa.Array) -> Bags:
     return Bags(*(np.concatenate(x) for x in zip(*parts)), docs)
 
 
-#: How much of the log-odds of label 1's share enters the bias; below 1 a missed document costs more than a false alarm.
-PRIOR_WEIGHT = 0.5
+class _Sample:
+    """Training bags by document and by subword, of the subwords that occur in two documents at least."""
+
+    def __init__(self, bags: Bags) -> None:
+        keep = np.bincount(bags.bucket, minlength=BUCKETS)[bags.bucket] > 1
+        self.doc, self.share = bags.doc[keep], bags.share[keep]
+        self.buckets, self.column = np.unique(bags.bucket[keep], return_inverse=True)
+        self.docs = bags.docs
+        self.present, self.at = np.unique(self.doc, return_index=True)
+        by = np.argsort(self.column, kind="stable")
+        self.doc_by_bucket, self.share_by_bucket = self.doc[by], self.share[by]
+        self.first = np.searchsorted(self.column[by], np.arange(len(self.buckets)))
 
+    def times(self, per_bucket: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.docs, np.float32)
+        if len(self.at):
+            out[self.present] = np.add.reduceat(self.share * per_bucket[self.column], self.at)
+        return out
+
+    def transposed(self, per_doc: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.share_by_bucket * per_doc[self.doc_by_bucket], self.first) if len(self.first) else np.zeros(0, np.float32)
 
-def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int = DIM, rounds: int = 500, enough: float = 0.015, rate: float = 300.0, momentum: float = 0.9, seed: int = 1) -> Model:
-    """Joint gradient descent on embeddings, softmax weights and biases.
 
-    The classes count alike in training; the bias is then set for a share of
-    label 1 of ``share`` (that of the sample, if not given). With one class only
-    the score is that share. Training stops at a mean loss of ``enough``.
+#: Weight of the text that says nothing, a clean one, beside a weight of 1 for all other texts.
+NOTHING = 0.05
+
+
+def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int = DIM, rounds: int = 500, enough: float = 0.03, rate: float = 300.0, momentum: float = 0.9, seed: int = 1) -> Model:
+    """Joint gradient descent on embeddings, softmax weights and bias, by likelihood.
+
+    The classes count alike, and so 0.5 is where a text is as likely of either
+    one; an empty text is one more clean example, which is what the bias learns
+    from. With one class only the score is ``share`` (that of the sample, if not
+    given). Training stops at a mean loss of ``enough``.
     """
     seen = float(label.mean()) if len(label) else 0.0
-    share = min(max(seen if share is None else share, 1e-6), 1 - 1e-6)
-    prior = PRIOR_WEIGHT * float(np.log(share / (1 - share)))
     if not 0 < seen < 1:
-        return Model(np.zeros(BUCKETS, np.float32), prior)
+        share = min(max(seen if share is None else share, 1e-6), 1 - 1e-6)
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+    sample = _Sample(bags)
     rng = np.random.default_rng(seed)
-    embedding, weights, bias = rng.normal(0, 0.05, (BUCKETS, dim)), rng.normal(0, 1, (dim, 2)), 0.0
+    embedding, weights, bias = rng.normal(0, 0.05, (len(sample.buckets), dim)).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), 0.0
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (len(label) - label.sum()))
-    moving_e, moving_w = np.zeros_like(embedding), np.zeros_like(weights)
+    moving_e, moving_w, moving_b = np.zeros_like(embedding), np.zeros_like(weights), 0.0
     for _ in range(rounds):
         # a text's logits are its mean embedding times the weights, that is the mean of embedding times weights
-        p = 1 / (1 + np.exp(-np.clip(bags.times(embedding @ (weights[:, 1] - weights[:, 0])) + bias, -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(sample.times(embedding @ (weights[:, 1] - weights[:, 0])) + bias, -60, 60)))
+        nothing = 1 / (1 + np.exp(-bias))
         loss = -(weight * np.log(np.where(label == 1, p, 1 - p) + 1e-12)).sum()
         if loss < enough:
             break
         wrong = (p - label) * weight
-        by_bucket = bags.transposed(wrong)[:, None] * np.array([[-1.0, 1.0]])
+        by_bucket = sample.transposed(wrong.astype(np.float32))[:, None] * np.array([[-1, 1]], np.float32)
         step_e, step_w = by_bucket @ weights.T, embedding.T @ by_bucket
         moving_e = momentum * moving_e + step_e
         moving_w = momentum * moving_w + step_w
-        embedding -= rate * moving_e
-        weights -= 0.5 * moving_w
-        bias -= 2 * wrong.sum()
-    return Model((embedding @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias) + prior)
+        moving_b = momentum * moving_b + wrong.sum() + NOTHING * nothing
+        embedding -= np.float32(rate) * moving_e
+        weights -= np.float32(0.5) * moving_w
+        bias -= 2 * moving_b
+    value = np.zeros(BUCKETS, np.float32)
+    value[sample.buckets] = embedding @ (weights[:, 1] - weights[:, 0])
+    return Model(value, float(bias))
 
 
 def _score(model):
@@ -162,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: in
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
-    A null or empty text has no subwords and gets the score of the bias alone; a
+    A null or empty text has no subwords and gets the score of the bias alone,
+    which is below 0.5 where both classes were learnt from; a
     null id counts as not held out; repeated rows are scored alike; an empty
     table gives an empty result; other columns are not read.
     """
@@ -187,7 +212,11 @@ def _clean(model, text_col: str):
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents the model does not reject, with all their columns."""
+    """The documents the model does not reject (score below 0.5), with all their columns.
+
+    Null and empty texts have the score of the bias alone; repeated rows all stay
+    or all go; ids are not read; an empty table stays empty.
+    """
     return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema)
 
 
