@@ -142,12 +142,14 @@ _TABLE_SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in (
 _KEY = 5
 
 
-def meetings(keys: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, firm: int, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def meetings(keys: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, firm: int, loose: int, every: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, is firm, rows of leaders): what the signatures of nodes with one key say.
 
     Each key's smallest node leads, and is compared with all of the key's nodes;
     those that agree firmly follow it. While nodes are left that follow none, the
-    smallest of them leads in turn. Only leaders travel on with the key.
+    smallest of them leads in turn. Only leaders travel on with the key. A leader
+    has a firm link to all that agree with it (without ``every`` only to those
+    that follow it), and a loose one to the earlier leader it agrees with most.
     """
     by = np.lexsort((nodes, keys))
     k = keys[by]
@@ -156,16 +158,21 @@ def meetings(keys: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, firm: int, l
     left = np.bincount(key)[key] > 1 if len(key) else new
     lead = ~left
     rows = np.flatnonzero(left)
+    most, nearest = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     while len(rows):
         waiting = rows[left[rows]]
         head = waiting[np.append(True, key[waiting][1:] != key[waiting][:-1])]
+        doubt = head[most[head] >= loose]
+        found.append((nodes[by[nearest[doubt]]], nodes[by[doubt]], np.zeros(len(doubt), bool)))
         of = np.searchsorted(key[head], key[rows])
         h, m = by[head[of]], by[rows]
         agree = agreement(sigs[h], sigs[m])
         follows = (agree >= firm) | (nodes[h] == nodes[m])
-        tell = (agree >= loose) & (nodes[h] != nodes[m])
-        found.append((nodes[h][tell], nodes[m][tell], follows[tell]))
+        tell = follows & (nodes[h] != nodes[m]) & (left[rows] | every)
+        found.append((nodes[h][tell], nodes[m][tell], np.ones(tell.sum(), bool)))
+        closer = agree > most[rows]
+        most[rows[closer]], nearest[rows[closer]] = agree[closer], head[of[closer]]
         lead[head] = True
         left[rows[follows]] = False
         left[head] = False
@@ -205,7 +212,7 @@ def _tables(sketches: int, buckets: int, tasks: int, contract: bool, firm: int,
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(nodes), 2)
             keys = np.concatenate([bytescan.mixed(half[:, i] * _ODD[900 + i] + half[:, sketches + j] + _ODD[1000 + i * sketches + j]) for i in range(sketches) for j in range(sketches)])
             owner = np.tile(np.arange(len(nodes)), sketches * sketches)
-            a, b, close, lead = meetings(keys, nodes[owner], sig[owner], firm, loose)
+            a, b, close, lead = meetings(keys, nodes[owner], sig[owner], firm, loose, contract)
             for links in _links(a, b, close, tasks, contract):
                 n = len(links[0])
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4, *links], schema=_TABLE_SCHEMA)
@@ -239,7 +246,7 @@ def _meet(tasks: int, contract: bool, firm: int, loose: int):
                 nodes.append(np.frombuffer(row["nodes"], np.int64)[ref])
                 sigs.append(np.frombuffer(row["sigs"], np.uint64).reshape(-1, 2)[ref])
         if keys:
-            a, b, close, _ = meetings(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sigs), firm, loose)
+            a, b, close, _ = meetings(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sigs), firm, loose, contract)
             for links in _links(a, b, close, tasks, contract):
                 yield pa.RecordBatch.from_arrays(links, ["dest", "a", "b", "firm"])
 
