@@ -127,7 +127,8 @@ def code_terms(code: Column | str) -> Column:
         low, parts = F.lower(name), split_identifier(name)
         own = F.when(means(low), F.array(low)).otherwise(none)
         split = (F.size(parts) > 1) | ((F.size(parts) == 1) & (F.try_element_at(parts, F.lit(1)) != low))
-        return F.concat(own, F.when(split, F.filter(parts, means)).otherwise(none))
+        # a name without a boundary is its own only part: most are, and are done here
+        return F.when(F.regexp_like(name, F.lit(f"_|{L.CAMEL_BOUNDARY}")), F.concat(own, F.when(split, F.filter(parts, means)).otherwise(none))).otherwise(own)
 
     said = F.filter(words(comments_and_strings(c)), lambda w: ~w.isin(L.STOPWORDS) & (F.length(w) > 1))
     return F.concat(F.flatten(F.transform(_all(c, L.IDENTIFIER), emit)), said)

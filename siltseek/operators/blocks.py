@@ -9,6 +9,7 @@ moments and keeps each batch's best k. Only sums and best lists leave a task.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from siltseek.operators import lexical
 from siltseek.operators.fusion import LEAST_SD
 
 #: Questions a block, documents a product.
@@ -32,6 +34,27 @@ class Questions:
     weights: tuple[float, float, float]
 
 
+def hybrid_blocks(asked: DataFrame, docs: DataFrame, terms: DataFrame, weights: tuple[float, float]) -> Iterator[tuple[Questions, DataFrame]]:
+    """Blocks of questions (qid, terms, numbers) over documents (doc_id, numbers), by dense vectors and BM25.
+
+    ``terms`` is (doc_id, terms) of the documents. Numbers may be null. The
+    driver holds one block's questions at a time.
+    """
+    spark, rows = docs.sparkSession, asked.select("qid", "numbers").orderBy("qid").toLocalIterator()
+    while block := list(itertools.islice(rows, QUESTIONS)):
+        vectors = np.zeros((len(block), max([1, *(len(r["numbers"]) for r in block if r["numbers"])])))
+        for i, r in enumerate(block):
+            if r["numbers"]:
+                vectors[i] = r["numbers"]
+        ids = [r["qid"] for r in block]
+        numbered = F.broadcast(spark.createDataFrame(list(enumerate(ids)), ["q", "qid"]))  # a block of questions
+        own = asked.join(numbered, "qid").select(F.col("q").alias("qid"), "terms")
+        index = lexical.build(terms, only=own.select(F.explode("terms").alias("term")))
+        matched = lexical.scores(index, own).groupBy("doc_id").agg(F.collect_list(F.struct("qid", "bm25")).alias("m"))
+        matched = matched.select("doc_id", F.col("m.qid").alias("asked"), F.col("m.bm25").alias("matched"))
+        yield Questions(ids, vectors, np.zeros((len(ids), 1)), (*weights, 0.0)), docs.join(matched, "doc_id", "left")
+
+
 def _products(q: Questions, batch: pa.RecordBatch) -> list[tuple[float, np.ndarray]]:
     """(weight, scores by question and document) of each scorer in use."""
     n, get = batch.num_rows, lambda c: batch.column(batch.schema.get_field_index(c))

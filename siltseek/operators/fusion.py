@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siltseek.operators.sizing import broadcast_if_small
+
 #: A standard deviation below this counts as 1.
 LEAST_SD = 1e-6
 
@@ -14,13 +16,14 @@ def zscored(scores: DataFrame, columns: list[str], by: list[str] | None = None)
     """Adds z_<column>: each query's scores less their mean, by their population deviation.
 
     ``scores`` must hold every document of each query (0 where nothing matched).
+    The moments are summed before any shuffle and joined, one row a query, so no
+    task has to hold all documents of one.
     """
-    w = W.partitionBy(*(by or ["qid"]))
-    out = scores
-    for c in columns:
-        sd = F.stddev_pop(c).over(w)
-        out = out.withColumn(f"z_{c}", (F.col(c) - F.avg(c).over(w)) / F.when(sd < LEAST_SD, 1.0).otherwise(sd))
-    return out
+    by = by or ["qid"]
+    moments = scores.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    out = scores.join(broadcast_if_small(moments), by)
+    sd = lambda c: F.when(F.col(f"_sd_{c}") < LEAST_SD, 1.0).otherwise(F.col(f"_sd_{c}"))
+    return out.select(*[F.col(c) for c in scores.columns], *[((F.col(c) - F.col(f"_mean_{c}")) / sd(c)).alias(f"z_{c}") for c in columns])
 
 
 def rank_scored(scores: DataFrame, columns: list[str], k: int = 60, by: list[str] | None = None, tie: str = "doc_id") -> DataFrame:
@@ -71,6 +74,6 @@ def sparse_zscore_top_k(scorers: dict[str, tuple[DataFrame, float]], queries: Da
     matched = added.join(constant, "qid").select("qid", "doc_id", (F.col("base") + F.col("added")).alias("score"), "added")
     enough = matched.where("added >= 0").groupBy("qid").agg(F.count(F.lit(1)).alias("m"))
     short = queries.select("qid").distinct().join(enough, "qid", "left").where(F.coalesce("m", F.lit(0)) < k).select("qid")
-    rest = docs.select("doc_id").crossJoin(short).join(added.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").join(constant, "qid", "left")
+    rest = docs.select("doc_id").crossJoin(broadcast_if_small(short)).join(added.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").join(constant, "qid", "left")
     rest = top_k(rest.select("qid", "doc_id", F.coalesce("base", F.lit(0.0)).alias("score")), k).drop("rank")
     return top_k(matched.select("qid", "doc_id", "score").unionByName(rest), k).select("qid", "rank", "doc_id", "score")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltseek.functions import lexicon as L, text as T, topics
-from siltseek.operators import chunking, dense, fusion, lexical, metrics, versions
+from siltseek.operators import blocks, chunking, dense, fusion, lexical, metrics, versions
+from siltseek.operators.sizing import over_all_cores
 from siltseek.plans.retriever import HybridRetriever
 from siltseek.sources.config import PipelineConfig
 
@@ -25,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return over_all_cores(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _long(c: str) -> Column:
@@ -188,13 +191,28 @@ SELECT round(avg(coalesce(dcg, 0) / idcg), 6) AS ndcg, round(avg(coalesce(1.0 /
 )
 def ndcg_mrr_recall(spark, d):
     run = fusion.top_k(_bm25(spark, d).withColumn("s", F.round("bm25", 6)), 10, "s")
-    # the items are few and bounded by the benchmark; `contains` must see each pair
-    b, docs = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("t")), _table(spark, d, "documents")
-    qrels = docs.join(lexical.broadcast_if_small(b), F.contains("text", "t")).select("qid", "doc_id", F.lit(1.0).alias("grade"))
-    m = metrics.mean_metrics(run.select("qid", "rank", "doc_id"), qrels)
+    m = metrics.mean_metrics(run.select("qid", "rank", "doc_id"), _qrels(spark, d).withColumn("grade", F.lit(1.0)))
     return m.select(*[F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "recall")], "queries")
 
 
+def _qrels(spark, d):
+    """(qid, doc_id) of the documents that hold an item's text: they meet on the item's longest inner word.
+
+    A word between an item's first and last is a word of every text that holds
+    the item. Only items of fewer than three words are compared with all texts.
+    """
+    b = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("t"), T.words("text").alias("w"))
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = b.select("qid", "t", longest.alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("word"))
+    met = words.join(lexical.broadcast_if_small(keyed.where("word IS NOT NULL")), "word").select("doc_id", "qid", "t")
+    found = docs.join(met, "doc_id").where(F.contains("text", "t")).select("qid", "doc_id")
+    rest = lexical.broadcast_if_small(keyed.where("word IS NULL AND t IS NOT NULL"))
+    return found.unionByName(docs.join(rest, F.contains("text", "t")).select("qid", "doc_id"))
+
+
 # ---- dense vectors ----
 
 _PAIRS = "pairs AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS dense, (q.label = d.label)::INT::DOUBLE AS bm25, (q.label + 1) % 10 = d.label AS nextl FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0), sc AS (SELECT qid, doc_id, dense, bm25, nextl::INT::DOUBLE AS topic FROM pairs)"
@@ -256,20 +274,18 @@ def rrf_fusion(spark, d):
 
 
 @query(
-    f"""WITH {_BM25}, dd AS (SELECT doc_id, embedding FROM documents JOIN embeddings ON doc_id = vec_id), qq AS (SELECT item_id AS qid, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
-al AS (SELECT qq.qid, dd.doc_id, list_dot_product(qq.embedding::DOUBLE[], dd.embedding::DOUBLE[]) AS dense, coalesce(bm25, 0) AS bm25 FROM qq CROSS JOIN dd LEFT JOIN bm ON bm.qid = qq.qid AND bm.doc_id = dd.doc_id),
-z AS (SELECT qid, doc_id, (dense - avg(dense) OVER w) / stddev_pop(dense) OVER w + 0.25 * (bm25 - avg(bm25) OVER w) / stddev_pop(bm25) OVER w AS s FROM al WINDOW w AS (PARTITION BY qid))
-SELECT qid, rank, doc_id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank FROM z) WHERE rank <= 10"""
+    f"""WITH {_BM25}, al AS (SELECT b.item_id AS qid, d.doc_id, coalesce(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 0) AS dense, coalesce(bm25, 0) AS bm25
+FROM benchmark b CROSS JOIN documents d LEFT JOIN embeddings q ON q.vec_id = b.item_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN bm ON bm.qid = b.item_id AND bm.doc_id = d.doc_id),
+z AS (SELECT qid, doc_id, (dense - avg(dense) OVER w) / CASE WHEN stddev_pop(dense) OVER w < 1e-6 THEN 1 ELSE stddev_pop(dense) OVER w END + 0.25 * (bm25 - avg(bm25) OVER w) / CASE WHEN stddev_pop(bm25) OVER w < 1e-6 THEN 1 ELSE stddev_pop(bm25) OVER w END AS s FROM al WINDOW w AS (PARTITION BY qid))
+SELECT qid, rank, doc_id, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) AS rank FROM z) WHERE rank <= 10"""
 )
 def hybrid_topk(spark, d):
-    """Dense and BM25 fused over the documents and items that have vectors."""
-    e = _vectors(spark, d).select("doc_id", "vector")
-    docs = _table(spark, d, "documents").select("doc_id").join(e, "doc_id")
-    q = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid")).join(e.withColumnRenamed("doc_id", "qid"), "qid")
-    near = dense.pair_scores(q, docs).withColumnRenamed("dense", "score")
-    match = _bm25(spark, d).join(docs.select("doc_id"), "doc_id").join(q.select("qid"), "qid").withColumnRenamed("bm25", "score")
-    best = fusion.sparse_zscore_top_k({"dense": (near, 1.0), "bm25": (match, 0.25)}, q, docs, 10)
-    return best.select("qid", _long("rank"), "doc_id", F.round("score", 4).alias("score"))
+    """Dense and BM25 fused over all documents, for all items; what has no vector scores 0 on the dense side."""
+    vectors = _vectors(spark, d).select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("numbers"))
+    docs = _table(spark, d, "documents").select("doc_id").join(vectors, "doc_id", "left")
+    asked = _item_terms(spark, d).join(vectors.withColumnRenamed("doc_id", "qid"), "qid", "left")
+    best = [blocks.zscore_top_k(block, rows, 10) for block, rows in blocks.hybrid_blocks(asked, docs, _doc_terms(spark, d), (1.0, 0.25))]
+    return reduce(DataFrame.unionByName, best).select("qid", _long("rank"), "doc_id", F.round("score", 4).alias("score"))
 
 
 @query()
@@ -313,8 +329,7 @@ n AS (SELECT DISTINCT doc_id FROM r JOIN q USING (qid)), o AS (SELECT doc_id FRO
 SELECT doc_id, doc_id IN (SELECT doc_id FROM n) AS needed FROM (SELECT * FROM n UNION ALL SELECT * FROM o)"""
 )
 def sample_queries(spark, d):
-    b, docs = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("t")), _table(spark, d, "documents")
-    qrels = docs.join(lexical.broadcast_if_small(b), F.contains("text", "t")).select("qid", "doc_id")
+    b, docs, qrels = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid")), _table(spark, d, "documents"), _qrels(spark, d)
     unjudged = b.select("qid", F.lit(None).cast("long").alias("doc_id"))
     drawn, corpus = metrics.sample_queries(b.select("qid"), qrels.unionByName(unjudged), docs.select("doc_id"), 10, 100, 7)
     needed = qrels.join(drawn, "qid", "left_semi").select("doc_id").distinct().withColumn("needed", F.lit(True))
