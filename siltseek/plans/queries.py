@@ -115,7 +115,19 @@ def content_hash_dups(spark, d):
     return rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
 
 
-@query()
+_NOISE_SQL = ", ".join(f"'{w}'" for w in L.CODE_NOISE)
+_SAID_SQL = " || ".join(f"regexp_extract_all(coalesce(text, ''), '{flags}{pattern.replace(chr(39), chr(39) * 2)}', {group})" for flags, pattern, group in (("(?s)", L.BLOCK_COMMENT, 0), ("(?s)", L.STRING_LITERAL, 1), ("(?m)", L.LINE_COMMENT, 2)))
+
+
+@query(
+    rf"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{L.IDENTIFIER}')) AS name FROM documents),
+p AS (SELECT doc_id, lower(name) AS low, list_filter(list_transform(string_split(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '_', 'g'), '([A-Z])([A-Z][a-z])', '_', 'g'), '_'), lambda x: lower(x)), lambda x: x <> '') AS parts FROM n),
+t AS (SELECT doc_id, low AS term FROM p WHERE low NOT IN ({_NOISE_SQL}) AND length(low) > 1
+UNION ALL SELECT * FROM (SELECT doc_id, unnest(parts) AS term FROM p WHERE len(parts) > 1 OR (len(parts) = 1 AND parts[1] <> low)) WHERE term NOT IN ({_NOISE_SQL}) AND length(term) > 1
+UNION ALL SELECT * FROM (SELECT doc_id, lower(unnest(regexp_extract_all(array_to_string({_SAID_SQL}, E'
+'), '{L.WORD}'))) AS term FROM documents) WHERE term NOT IN ({_STOP_SQL}) AND length(term) > 1)
+SELECT doc_id, count(*) AS n_terms, count(DISTINCT term) AS n_distinct FROM t GROUP BY 1"""
+)
 def code_terms(spark, d):
     rows = _table(spark, d, "documents").select("doc_id", F.explode(T.code_terms("text")).alias("term"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.countDistinct("term").alias("n_distinct"))
