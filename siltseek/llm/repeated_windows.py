@@ -34,6 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siltseek.llm import bytescan
@@ -41,7 +42,7 @@ from siltseek.llm.scratch import scratch
 
 WIDTH, GRAM = 100, 24
 #: A gram with more entries than this, and than one in ``HOT`` of all, has its windows dealt one by one.
-SPREAD = 4096
+SPREAD = 16_384
 #: So many grams may be dealt by window, about; their hashes are broadcast (8 bytes each).
 HOT = 1 << 20
 #: Cells in which equal windows meet before they all do.
@@ -217,10 +218,18 @@ def _deal_spans(buckets: int, width: int, hot=None):
 
 
 def _collapse(buckets: int, width: int):
-    """mapInArrow over a cell's entries: the first of equal ones as entries again, the others' intervals."""
+    """mapInArrow over a cell's entries: the first of equal ones as entries again, the others' intervals.
+
+    Rows that are intervals already pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _unpacked(batches)
+        held = []
+        for batch in batches:
+            done = pc.is_valid(batch.column(batch.schema.get_field_index("key")))
+            yield batch.filter(done).cast(_SCHEMA)
+            held.append(batch.filter(pc.invert(done)))
+        s = _unpacked(iter(held))
         if len(s["h"]):
             s, gone = _later(s, width)
             yield _batch(_SCHEMA, gone)
@@ -432,10 +441,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     hot = hot_grams(entries, spread)
     if len(hot):
         shared = spark.sparkContext.broadcast(hot)
-        windows = scratch(rows.mapInArrow(_deal_spans(4 * n, width, shared), _ENTRIES), "windows")
-        every.append(windows.where("key IS NOT NULL").select(*intervals))
-        cell = F.pmod(F.xxhash64("doc_ids", "at"), F.lit(CELLS))
-        firsts = scratch(windows.where("key IS NULL").select(*packed).repartition(n, "bucket", cell).mapInArrow(_collapse(4 * n, width), _ENTRIES), "cells")
+        windows = rows.mapInArrow(_deal_spans(4 * n, width, shared), _ENTRIES)
+        cell = F.pmod(F.xxhash64("doc_ids", "at", "key"), F.lit(CELLS))
+        firsts = scratch(windows.repartition(n, "bucket", cell).mapInArrow(_collapse(4 * n, width), _ENTRIES), "cells")
         every.append(firsts.where("key IS NOT NULL").select(*intervals))
         schema = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in packed)
         entries = entries.mapInArrow(_without(shared), schema).unionByName(firsts.where("key IS NULL").select(*packed))
@@ -453,3 +461,29 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 def op7_repeated_windows(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.lower(F.sha2("kept", 256)).alias("kept_sha256"))
+
+
+# Texts are hex strings, cut into overlapping parts of 1,000 windows, as a long text's characters are counted from its start.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2 * 1099) AS h FROM d, unnest(range(0, length(h) // 2 - 99, 1000)) AS t(p)
+), win AS (
+  SELECT doc_id, p + i AS pos, md5(substr(h, 2 * i + 1, 200)) AS w FROM part, unnest(range(0, least(1000, length(h) // 2 - 99))) AS t(i)
+), firsts AS (
+  SELECT w, min(row(doc_id, pos)) AS head FROM win GROUP BY 1 HAVING count(*) > 1
+), again AS (
+  SELECT doc_id, pos FROM win JOIN firsts USING (w) WHERE row(doc_id, pos) <> head
+), edges AS (
+  SELECT *, pos > coalesce(max(pos + 100) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM again
+), runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 100 AS e FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM edges) GROUP BY doc_id, k
+), kept AS (
+  SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(e ORDER BY a) AS ends FROM runs GROUP BY 1
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1),
+    lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * ends[j] + 1 END, CASE WHEN j = len(starts) THEN length(h) ELSE 2 * starts[j + 1] - CASE WHEN j = 0 THEN 0 ELSE 2 * ends[j] END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
