@@ -1,22 +1,23 @@
-"""python -m siltseek.cli search | history | demo"""
+"""python -m siltseek.cli search | history | demo | eval | tune | smoke"""
 
 from __future__ import annotations
 
 import argparse
 import tempfile
 import time
-from dataclasses import replace
+from dataclasses import asdict, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltseek.functions.text import preview
 from siltseek.operators.chunking import chunk_files, stable_ids
+from siltseek.plans import evaluate
 from siltseek.plans.retriever import HybridRetriever
 from siltseek.plans.versioned import VersionedIndex
 from siltseek.session import ship_package
 from siltseek.sources.config import PipelineConfig, resolve
-from siltseek.sources.harness import parse_version_specs
+from siltseek.sources.harness import parse_version_specs, write_report
 from siltseek.sources.repo import read_repo
 
 #: The demo's three versions of a small program: file -> text.
@@ -51,6 +52,25 @@ def _ask(spark: SparkSession, index: VersionedIndex, question: str, version: str
     print(f"  {time.perf_counter() - began:.1f} s\n")
 
 
+def _judged(spark: SparkSession, config: PipelineConfig, a: argparse.Namespace) -> None:
+    """eval, tune and smoke: a report is written and its main figures are printed."""
+    data = evaluate.Collection.read(spark, a.corpus, a.queries, a.qrels)
+    if a.command == "eval":
+        report, _ = evaluate.evaluate(data, config)
+        print("  ".join(f"{k} {v}" for k, v in report.items() if k != "config"))
+    elif a.command == "tune":
+        best, report = evaluate.tune(data, config, None, a.sample_queries, a.sample_docs, a.seed, a.tags)
+        for row in report:
+            print("  ".join(str(v) for v in row.values()))
+        print(best.to_json())
+        if a.write_config:
+            write_report(a.write_config, asdict(best))
+    else:
+        report = evaluate.smoke(data, config)
+        print(f"estimated full run: {report['estimated_full_run_minutes']} minutes")
+    write_report(a.out, report)
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="siltseek")
     parser.add_argument("--config")
@@ -64,11 +84,25 @@ def main(args: list[str] | None = None) -> None:
         p.add_argument("--top-k", type=int, default=5)
         p.add_argument("query")
     sub.add_parser("demo")
+    for name, says in (("eval", "run_summary.json"), ("tune", "tuning_report.json"), ("smoke", "smoke_test_report.json")):
+        p = sub.add_parser(name)
+        for table in ("corpus", "queries", "qrels"):
+            p.add_argument(f"--{table}", required=True, help="Parquet, or JSON lines if it ends in .json or .jsonl")
+        p.add_argument("--out", default=says)
+        if name == "tune":
+            p.add_argument("--sample-queries", type=int, default=300)
+            p.add_argument("--sample-docs", type=int, default=3000)
+            p.add_argument("--seed", type=int, default=7)
+            p.add_argument("--tags", action="store_true")
+            p.add_argument("--write-config")
     a = parser.parse_args(args)
 
     spark = SparkSession.builder.appName("siltseek").getOrCreate()
     ship_package(spark)
     config: PipelineConfig = replace(resolve(Path.cwd(), a.config), model=a.model)
+    if a.command in ("eval", "tune", "smoke"):
+        _judged(spark, config, a)
+        return
     index = VersionedIndex(HybridRetriever(config))
 
     def add(name: str, path: str | Path) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siltseek.functions import text as T, topics
 from siltseek.functions.lexicon import TOPIC_NAMES
 from siltseek.operators import blocks, dense, fusion, lexical
+from siltseek.operators.sizing import over_all_cores
 from siltseek.sources.config import PipelineConfig
 
 _PARTS = ("docs", "vectors", "postings", "stats", "topics")
@@ -73,7 +75,7 @@ class HybridRetriever:
         return views.select("qid", "full", F.when(F.col("statement") != F.col("full"), F.col("statement")).alias("statement"))
 
     def build_index(self, docs: DataFrame) -> CodeIndex:
-        cfg = self.config
+        cfg, docs = self.config, over_all_cores(docs)
         terms = docs.select("doc_id", T.code_terms("text").alias("terms")).persist()
         built = lexical.build(terms, cfg.bm25_k1, cfg.bm25_b)
         tagged = docs.select("doc_id", topics.code_topics(F.col("text")).alias("topics"))
@@ -122,17 +124,9 @@ class HybridRetriever:
         return pairs
 
     def _blocks(self, index: CodeIndex, queries: DataFrame) -> Iterator[tuple[blocks.Questions, DataFrame]]:
-        """Blocks of questions with the documents' rows for them."""
+        """Blocks of questions with the documents' rows for them; the driver holds one block at a time."""
         cfg, sparse = self.config, "bucket" in index.vectors.columns
-        ids = [r["qid"] for r in queries.select("qid").distinct().orderBy("qid").collect()]
-        if not ids:
-            return
-        vectors = self._query_vectors(self.query_texts(queries))
         packed = F.collect_list(F.struct("bucket", "value"))
-        vectors = vectors.groupBy("id").agg(packed.alias("v")) if sparse else vectors.select("id", F.col("vector").alias("v"))
-        asked = {r["id"]: r["v"] for r in vectors.collect()}
-        tags = {r["qid"]: r["t"] for r in queries.select("qid", topics.query_topics(F.col("text")).alias("t")).collect()}
-        terms = queries.select("qid", T.query_terms(T.query_views("text")["full"]).alias("terms"))
         docs = index.docs.select("doc_id")
         if sparse:
             entry = F.sort_array(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "value")))
@@ -142,9 +136,15 @@ class HybridRetriever:
         docs = docs.join(own, "doc_id", "left")
         if cfg.topic_weight:
             docs = docs.join(index.topics.select("doc_id", dense.l2(F.col("topics")).alias("topics")), "doc_id", "left")
-        width = getattr(self.embedder, "dim", None) or max((len(v) for v in asked.values()), default=1)
-        for i in range(0, len(ids), blocks.QUESTIONS):
-            part = ids[i : i + blocks.QUESTIONS]
+        ids = queries.select("qid").distinct().orderBy("qid").toLocalIterator()
+        while part := [r["qid"] for r in itertools.islice(ids, blocks.QUESTIONS)]:
+            numbered = F.broadcast(queries.sparkSession.createDataFrame(list(enumerate(part)), ["q", "qid"]))  # a block of questions
+            block = queries.join(numbered, "qid")
+            vectors = self._query_vectors(self.query_texts(block))
+            vectors = vectors.groupBy("id").agg(packed.alias("v")) if sparse else vectors.select("id", F.col("vector").alias("v"))
+            asked = {r["id"]: r["v"] for r in vectors.collect()}
+            tags = {r["qid"]: r["t"] for r in block.select("qid", topics.query_topics(F.col("text")).alias("t")).collect()}
+            width = getattr(self.embedder, "dim", None) or max((len(v) for v in asked.values()), default=1)
             matrix, tagged = np.zeros((len(part), width)), np.zeros((len(part), len(TOPIC_NAMES)))
             for row, qid in enumerate(part):
                 for j, x in [(e["bucket"], e["value"]) for e in asked.get(qid, [])] if sparse else enumerate(asked.get(qid, [])):
@@ -153,8 +153,8 @@ class HybridRetriever:
                 tagged[row] = np.array(tags[qid]) / (length or 1)
             rows = docs
             if cfg.bm25_weight:
-                numbered = F.broadcast(queries.sparkSession.createDataFrame(list(enumerate(part)), ["q", "qid"]))  # a block of questions
-                words = lexical.scores(lexical.LexicalIndex(index.postings, index.stats), terms.join(numbered, "qid").select(F.col("q").alias("qid"), "terms"))
+                terms = block.select(F.col("q").alias("qid"), T.query_terms(T.query_views("text")["full"]).alias("terms"))
+                words = lexical.scores(lexical.LexicalIndex(index.postings, index.stats), terms)
                 entry = F.collect_list(F.struct("qid", "bm25"))
                 rows = docs.join(words.groupBy("doc_id").agg(entry.alias("m")).select("doc_id", F.col("m.qid").alias("asked"), F.col("m.bm25").alias("matched")), "doc_id", "left")
             rows = rows.persist()  # read by both passes

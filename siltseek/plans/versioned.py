@@ -17,7 +17,7 @@ class VersionedIndex:
     def __init__(self, retriever: HybridRetriever) -> None:
         self.retriever = retriever
         self.versions: dict[str, DataFrame] = {}
-        self._indices: dict[tuple[str, ...], CodeIndex] = {}
+        self._indices: dict[tuple[str, str], CodeIndex] = {}
 
     def rows(self) -> DataFrame:
         """(version_seq, version, sid, text, location, content_hash) of all versions."""
@@ -32,12 +32,13 @@ class VersionedIndex:
         if "location" not in snippets.columns:
             snippets = snippets.withColumn("location", F.lit(""))
         self.versions[version] = snippets.select("sid", "text", "location")
-        self._indices.clear()
+        for key in [k for k in self._indices if k[0] == "all" or k[1] == version]:  # other versions' indices stay
+            self._indices.pop(key).release()
         keyed = self.rows().withColumn("_k", F.sha1(T.clean_code("text", self.retriever.config.doc_max_chars)))
         row = versions.version_stats(keyed, "_k").where(F.col("version") == version).first()
         return {"version": version, "snippets": row["snippets"] if row else 0, "new_or_changed": row["new_or_changed"] if row else 0, "unchanged": row["unchanged"] if row else 0}
 
-    def _index(self, key: tuple[str, ...], docs: DataFrame) -> CodeIndex:
+    def _index(self, key: tuple[str, str], docs: DataFrame) -> CodeIndex:
         if key not in self._indices:
             self._indices[key] = self.retriever.build_index(docs)
         return self._indices[key]
@@ -55,7 +56,7 @@ class VersionedIndex:
             return self._search_all(queries, top_k, overfetch)
         version = list(self.versions)[-1] if version == "latest" else version
         docs = self.versions[version]
-        index = self._index((version,), docs.select(F.col("sid").alias("doc_id"), "text"))
+        index = self._index(("one", version), docs.select(F.col("sid").alias("doc_id"), "text"))
         run = self.retriever.search(index, queries, top_k)
         empty = F.array().cast("array<struct<version:string,score:double>>")
         joined = run.join(docs.withColumnRenamed("sid", "doc_id"), "doc_id")
@@ -64,7 +65,7 @@ class VersionedIndex:
     def _search_all(self, queries: DataFrame, top_k: int, overfetch: int | None) -> DataFrame:
         rows = self.rows()
         entries = versions.distinct_texts(rows).withColumn("doc_id", F.concat_ws("@", "sid", "content_hash"))
-        index = self._index(tuple(self.versions), entries.select("doc_id", "text"))
+        index = self._index(("all", ""), entries.select("doc_id", "text"))
         run = self.retriever.search(index, queries, overfetch or max(1, entries.count()))
         scored = run.join(entries.select("doc_id", "sid", "content_hash", "text"), "doc_id")
         hits = versions.grouped_hits(scored.select("qid", "sid", "content_hash", "score", "text"), rows, top_k)

@@ -1,6 +1,6 @@
 """Every registered query of the engine against its SQL on the smallest tables."""
 
-import importlib
+import importlib.abc
 import sys
 
 import duckdb
@@ -36,8 +36,31 @@ def test_entry_works_without_the_subpackage(spark, monkeypatch):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    class Gone(importlib.abc.MetaPathFinder):
+        """As if the folders were not there."""
+
+        def find_spec(self, name, path=None, target=None):
+            if name == "corpus_pipeline" or name.startswith("siltseek.llm"):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("siltseek.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
     alone = importlib.reload(entry)
     assert set(alone.queries()) == set(engine.QUERIES) and set(alone.oracle_sql()) == set(engine.ORACLE_SQL)
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_entry_does_not_hide_import_errors(monkeypatch):
+    import __spark_entry__ as entry
+
+    class Broken(importlib.abc.MetaPathFinder):
+        def find_spec(self, name, path=None, target=None):
+            if name == "siltseek.llm.queries":
+                raise ModuleNotFoundError("No module named 'missing_dependency'", name="missing_dependency")
+
+    monkeypatch.delitem(sys.modules, "siltseek.llm.queries", raising=False)
+    monkeypatch.setattr(sys, "meta_path", [Broken(), *sys.meta_path])
+    with pytest.raises(ModuleNotFoundError, match="missing_dependency"):
+        entry._if_there("siltseek.llm.queries", "siltseek.llm")
