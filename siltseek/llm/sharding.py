@@ -16,9 +16,11 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltseek.llm.ranking import gapless
-from siltseek.llm.scratch import scratch
+from siltseek.llm.scratch import scratch, spread_join
 
 Run = tuple[int, int, int]  # size, number of items, bin
+#: Groups of one size are dealt by stretches of so many ranks.
+STRETCH = 100_000
 
 
 class BinTree:
@@ -177,15 +179,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     histogram = [(r["p_size"], r["n"]) for r in groups.groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
     plan = plan_frame(spark, balanced_plan(histogram, shards))
     ranked = gapless(groups, ["p_size"], ["_g", "_one"], "_rank")
-    # a size has few runs, but one size may hold a third of all groups: deal both sides over eight parts
-    ranked = ranked.withColumn("_part", F.pmod(F.col("_rank"), F.lit(8)).cast("int"))
-    plan = plan.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-    placed = ranked.join(plan, ["p_size", "_part"]).where("_rank >= p_from AND _rank < p_to").select("_g", "_one", "shard")
-    # copies of one text may be a third of all rows: the group's shard is joined per (group, part) by salting
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
-    here = salted.select("_g", F.col("size").alias("_one"), "_salt").distinct()
-    placed = scratch(here.join(placed, ["_g", "_one"]), "placed")
-    done = salted.join(placed.withColumnRenamed("_one", "size"), ["_g", "size", "_salt"]).select("doc_id", "size", "text_crc32", "shard")
+    # one size may hold a third of all groups: its ranks meet its runs by stretches of ``STRETCH``
+    stretch = lambda c: F.expr(f"{c} div {STRETCH}")
+    ranked = ranked.withColumn("_part", stretch("_rank"))
+    plan = plan.withColumn("_part", F.explode(F.sequence(stretch("p_from"), stretch("(p_to - 1)"))))
+    placed = ranked.join(plan, ["p_size", "_part"]).where("_rank >= p_from AND _rank < p_to").select("_g", F.col("_one").alias("size"), "shard")
+    # copies of one text may be a third of all rows
+    done = spread_join(rows, scratch(placed, "placed"), ["_g", "size"], "doc_id").select("doc_id", "size", "text_crc32", "shard")
     return gapless(done, ["shard"], ["doc_id", "text_crc32"], "slot")
 
 

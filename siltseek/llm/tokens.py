@@ -47,8 +47,10 @@ def encoder(vocabulary: str = VOCABULARY):
     def encode(text: str) -> list[int]:
         try:
             return fast(text)
-        except BaseException as error:  # its pattern engine gives up on very long white space, as a panic
-            if type(error).__name__ != "PanicException":
+        except (KeyboardInterrupt, SystemExit, MemoryError):
+            raise
+        except BaseException as error:  # its pattern engine gives up on very long white space, as a panic, which is no Exception
+            if type(error).__module__ != "pyo3_runtime":
                 raise
         return _reference_encoder(path)(text)
 
