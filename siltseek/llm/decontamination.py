@@ -232,7 +232,12 @@ def _without(shared, text_col: str):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", question_col: str = "text", answer_col: str | None = None) -> DataFrame:
-    """The documents in which no test item is found, with all their columns."""
+    """The documents in which no test item is found, with all their columns.
+
+    Null and empty texts hold no item and stay, null and empty items are in none;
+    rows that repeat an id and text all stay or all go; ids are not read; an empty
+    table on either side drops nothing.
+    """
     for index in _indices(items, question_col, answer_col):
         docs = docs.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index), text_col), docs.schema)
     return docs

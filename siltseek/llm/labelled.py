@@ -22,7 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     and rows without an id are not used. ``max_bytes`` bounds the sample's text:
     each class has half of it, and what one class leaves is the other's; a
     document that does not fit is left out, and later ones are still tried.
-    Where both classes have labels, a sample of one class is an error.
+    A sample of one class is an error if the other's drawn texts are all too
+    long; where none of them is among the documents it is a sample of one class.
     """
     id_ = F.col(id_col).cast("long")
     y = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
@@ -31,7 +32,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = y.where("label = 1").orderBy(order).limit(per_class).unionByName(y.where("label = 0").orderBy(order).limit(per_class))
     texts = docs.select(id_.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # at most 2 x per_class ids of 16 bytes: a bounded broadcast
-    table = texts.join(F.broadcast(picked), "_id").select("text", "label", order.alias("_o"), F.octet_length("text").cast("long").alias("_n")).where(F.col("_n") <= max_bytes).orderBy("_o", "text").toLocalIterator(prefetchPartitions=False)
+    found = texts.join(F.broadcast(picked), "_id").select("text", "label", order.alias("_o"), F.octet_length("text").cast("long").alias("_n"))
+    table = found.where(F.col("_n") <= max_bytes).orderBy("_o", "text").toLocalIterator(prefetchPartitions=False)
     taken, spare, used, waiting = [], [], [0, 0], 0
     for i, r in enumerate(table):
         row = (i, r["text"], r["label"], r["_n"])
@@ -48,8 +50,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             taken.append(row)
     rows = [(t, y_) for _, t, y_, _ in sorted(taken)]
     kept = {y_ for _, y_ in rows}
-    if len(kept) == 1 and y.where(F.col("label") == 1 - min(kept)).limit(1).count():
-        raise ValueError(f"{label}: both classes have labels, but no text of class {1 - min(kept)} is among the documents and within max_bytes={max_bytes}")
+    if len(kept) == 1 and found.where(F.col("label") == 1 - min(kept)).limit(1).count():
+        raise ValueError(f"{label}: texts of class {1 - min(kept)} are among the documents, but none is within max_bytes={max_bytes}")
     return pa.table({"text": pa.array([t for t, _ in rows], pa.string()), "label": pa.array([y for _, y in rows], pa.int32())})
 
 

@@ -46,6 +46,27 @@ def test_stages(spark, sf):
 
 
 def test_stages_on_odd_rows(spark, sf, odd, empty):
-    for df in (odd, empty):
-        for name, stage in corpus_pipeline.STAGES:
-            df = scratch(stage(spark, df, sf), name)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+    kept = odd
+    found = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = scratch(stage(spark, kept, sf), name)
+        assert kept.columns == odd.columns and {r.a for r in kept.collect()} == {"x"}
+        found[name] = {(r.doc_id, r.text) for r in kept.collect()}
+    every = {(r.doc_id, r.text) for r in odd.collect()}
+    assert {t for _, t in found["toxicity"]} >= {None, ""}  # what says nothing is clean
+    exact = found["exact_dedup"]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+    firsts = {}
+    for i, t in sorted(found["toxicity"], key=lambda r: (r[0] is None, r[0])):
+        firsts.setdefault(norm(t), i)
+    assert {(norm(t), i) for i, t in exact} == set(firsts.items())
+    assert found["near_dedup"] <= exact <= every and {norm(t) for _, t in found["near_dedup"]} >= {""}
+    assert found["decontamination"] <= found["near_dedup"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect()
+    ids = {}
+    for r, i in zip(kept.collect(), reference_ids([r.text or "" for r in kept.collect()])):
+        ids.setdefault(r.doc_id, []).append(i)
+    check_packing(packed, ids, 2048)
+    assert {r.doc_id for r in packed} == set(ids)
