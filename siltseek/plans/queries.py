@@ -308,8 +308,8 @@ def hashing_embed(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    """The whole retriever with the hashing encoder: items asked of all documents."""
-    r = HybridRetriever(PipelineConfig(model="hashing"))
+    """The whole retriever with the hashing encoder, over whole texts: items asked of all documents."""
+    r = HybridRetriever(PipelineConfig(model="hashing", doc_max_chars=1 << 30))
     index = r.build_index(_table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     run = r.search(index, _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), 10)
     return run.select("qid", _long("rank"), "doc_id", F.round("score", 4).alias("score"))
@@ -399,17 +399,22 @@ def stable_ids(spark, d):
     return chunking.stable_ids(rows, "path", "role", ["turn"]).select("conv_id", "turn", "sid")
 
 
-_SOURCES = [
-    (0, "a.py", "import os\n\n@wraps\ndef f(x):\n    return x\n\nclass C:\n    def m(self):\n        pass\n"),
-    (1, "b.js", "export function run(a = {}) {\n  return '}';\n}\nconst go = async (x) => {\n  return `${x}`;\n};\nclass Q {\n  get(x) {\n    return x;\n  }\n}\n"),
-    (2, "c.py", "def broken(:\n" + "x = 1\n" * 70),
-    (3, "d.txt", "line\n" * 100),
-]
+#: A program put before a third of the texts each, so that every chunker has functions to find.
+_PROGRAMS = {
+    "py": "import os\n\n@wraps\ndef f(x):\n    return x\n\nclass C:\n    def m(self):\n        pass\n\nNOTE = ",
+    "js": "export function run(a = {}) {\n  return '}';\n}\nconst go = async (x) => {\n  return `${x}`;\n};\nclass Q {\n  get(x) {\n    return x;\n  }\n}\n// ",
+    "txt": "",
+}
 
 
 @query()
 def chunk_files(spark, d):
-    files = spark.createDataFrame(_SOURCES, "seq long, path string, content string")
+    """All documents as files: Python (the text as a literal where it is one line, else a syntax error), JavaScript, plain text."""
+    kinds = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(p).alias("p")) for e, p in _PROGRAMS.items()])
+    kind = F.element_at(kinds, (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(kind["e"] == "py", F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit("'")), F.lit('"\n'))).otherwise(text)
+    files = _table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.col("doc_id").cast("string"), F.lit("."), kind["e"]).alias("path"), F.concat(kind["p"], body).alias("content"))
     return chunking.stable_ids(chunking.chunk_files(files)).select("sid", "id", "start", "end", "name")
 
 
