@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from siltseek.llm import bytescan
 from siltseek.llm.context_tree import END, streams
 from siltseek.llm.labelled import LAST, held_out, labelled_sample, training_share
+from siltseek.llm.scratch import scratch
 
 BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 BUCKETS = 1 << BITS
@@ -194,7 +195,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     id_ = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(id_, F.lit(LAST)).alias("doc_id"), held_out(id_).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int")
+    # written, which also bounds the rows of whole texts that a worker gets at a time
+    scored = scratch(rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int"), "scored")
     return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST)))
 
 
