@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltseek.operators.sizing import broadcast_if_small
+from siltseek.operators.sizing import broadcast_if_small, is_small
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -43,12 +43,14 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, only: DataFrame | N
     For a search that keeps no index, ``only`` holds the questions' terms, so
     that other postings are dropped before the first shuffle.
     """
-    tf = term_frequencies(docs)
+    tf, few = term_frequencies(docs), False
     if only is not None:
-        wanted = broadcast_if_small(only.select("term").distinct())
-        tf = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(docs)
-    rows = tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(stats))  # stats is one row
+        wanted = only.select("term").distinct()
+        few = is_small(wanted)
+        tf = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats, df = corpus_stats(docs), document_frequencies(tf)
+    # few terms are asked for: their frequencies go to the postings, and a frequent term's postings stay where they are
+    rows = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     weight = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return LexicalIndex(rows.select("doc_id", "term", "tf", weight.alias("weight")), stats)
 

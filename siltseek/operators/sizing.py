@@ -20,14 +20,16 @@ def _bytes(c: Column, kind: DataType) -> Column:
     return F.lit(8).cast("long")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``most`` bytes; else as it is, for a shuffled join.
-
-    At most ``rows`` + 1 rows are looked at.
-    """
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``most`` bytes; at most ``rows`` + 1 rows are looked at."""
     width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
     seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if seen["n"] <= rows and seen["bytes"] <= most else df
+    return seen["n"] <= rows and seen["bytes"] <= most
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows, most) else df
 
 
 def over_all_cores(scan: DataFrame) -> DataFrame:
