@@ -93,35 +93,38 @@ class Model:
 
 def bags_of(texts: pa.Array) -> Bags:
     """The bags of many texts, a block at a time."""
-    parts, docs = [], 0
+    parts: list[list[np.ndarray]] = [[], [], []]
+    docs = 0
     for _, data, offsets in bytescan.blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), limit=_BLOCK):
         b = Bags.of(data, offsets)
-        parts.append((b.doc + docs, b.bucket, b.share))
+        for column, values in zip(parts, (b.doc + np.int32(docs), b.bucket, b.share)):
+            column.append(values)
         docs += b.docs
-    return Bags(*(np.concatenate(x) for x in zip(*parts)), docs)
+    return Bags(*(np.concatenate(parts.pop(0)) for _ in range(3)), docs)
 
 
 class _Sample:
-    """Training bags by document and by subword, of the subwords that occur in two documents at least."""
+    """Training bags over the subwords that occur in them; sums are made a slice at a time, for memory."""
 
     def __init__(self, bags: Bags) -> None:
-        keep = np.bincount(bags.bucket, minlength=BUCKETS)[bags.bucket] > 1
-        self.doc, self.share = bags.doc[keep], bags.share[keep]
-        self.buckets, self.column = np.unique(bags.bucket[keep], return_inverse=True)
-        self.docs = bags.docs
-        self.present, self.at = np.unique(self.doc, return_index=True)
-        by = np.argsort(self.column, kind="stable")
-        self.doc_by_bucket, self.share_by_bucket = self.doc[by], self.share[by]
-        self.first = np.searchsorted(self.column[by], np.arange(len(self.buckets)))
+        self.doc, self.share, self.docs = bags.doc, bags.share, bags.docs
+        self.buckets = np.flatnonzero(np.bincount(bags.bucket, minlength=BUCKETS))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.buckets] = np.arange(len(self.buckets))
+        self.column = place[bags.bucket]
+
+    def _sums(self, by: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for i in range(0, len(by), _BLOCK):
+            part = slice(i, i + _BLOCK)
+            out += np.bincount(by[part], self.share[part] * values[of[part]], n)
+        return out
 
     def times(self, per_bucket: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.docs, np.float32)
-        if len(self.at):
-            out[self.present] = np.add.reduceat(self.share * per_bucket[self.column], self.at)
-        return out
+        return self._sums(self.doc, per_bucket, self.column, self.docs)
 
     def transposed(self, per_doc: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.share_by_bucket * per_doc[self.doc_by_bucket], self.first) if len(self.first) else np.zeros(0, np.float32)
+        return self._sums(self.column, per_doc, self.doc, len(self.buckets)).astype(np.float32)
 
 
 #: Weight of the text that says nothing, a clean one, beside a weight of 1 for all other texts.
@@ -141,6 +144,7 @@ def train(bags: Bags, label: np.ndarray, share: float | None = None, dim: int =
         share = min(max(seen if share is None else share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     sample = _Sample(bags)
+    del bags
     rng = np.random.default_rng(seed)
     embedding, weights, bias = rng.normal(0, 0.05, (len(sample.buckets), dim)).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), 0.0
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (len(label) - label.sum()))
@@ -175,7 +179,7 @@ def _score(model):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 24 << 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 12 << 20) -> Model:
     """A model from at most ``per_class`` labelled training documents a class and ``max_bytes`` of text."""
     sample = labelled_sample(docs, labels, "toxic", per_class, max_bytes)
     if not sample.num_rows:
