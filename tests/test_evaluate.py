@@ -96,7 +96,7 @@ def test_transformer_with_a_stub_package(spark, tmp_path):
     doc, query = ({r["id"]: r["vector"] for r in e.embed(df, kind).collect()} for kind in ("doc", "query_full"))
     assert doc.keys() == {"1", "2"} and abs(sum(x * x for x in doc["1"]) - 1) < 1e-6
     assert doc["1"] != query["1"] and abs(doc["1"][0] / doc["1"][2] - 6 / 7) < 1e-6
-    found = HybridRetriever(PipelineConfig(model="any/model"), e)
+    found = HybridRetriever(PipelineConfig(model="any/model"), dense.SentenceTransformerEmbedder("any/model", max_seq_length=7))
     index = found.build_index(spark.createDataFrame([("x", "banana"), ("y", "kiwi kiwi kiwi")], "doc_id string, text string"))
     assert found.search(index, spark.createDataFrame([("q", "banana")], "qid string, text string"), 1).first().doc_id == "x"
 
