@@ -246,7 +246,11 @@ def _meet(tasks: int, contract: bool, firm: int, loose: int):
                 nodes.append(np.frombuffer(row["nodes"], np.int64)[ref])
                 sigs.append(np.frombuffer(row["sigs"], np.uint64).reshape(-1, 2)[ref])
         if keys:
-            a, b, close, _ = meetings(np.concatenate(keys), np.concatenate(nodes), np.concatenate(sigs), firm, loose, contract)
+            parts = []
+            for column in (keys, nodes, sigs):  # each list goes as soon as it is one array
+                parts.append(np.concatenate(column))
+                column.clear()
+            a, b, close, _ = meetings(*parts, firm, loose, contract)
             for links in _links(a, b, close, tasks, contract):
                 yield pa.RecordBatch.from_arrays(links, ["dest", "a", "b", "firm"])
 
@@ -474,7 +478,7 @@ def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     nodes = seen.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
     # numbers, not hashes: no two nodes share one; the written table fixes them
     nodes = scratch(nodes.select(F.monotonically_increasing_id().alias("node"), *same, "first.doc_id", "first.key", "sketch", "sig"), "nodes")
-    met = scratch(_met(nodes, sketches, percent, rows, contract=True), "met")
+    met = scratch(_met(nodes, sketches, percent, rows, contract=True), "met", 100)  # a row has thousands of keys
     doubtful = scratch(_exploded(met.where("NOT firm")).distinct(), "doubtful")
     sets = _texts_of(base, nodes, doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct(), ["node"], words)
     close = _verified(doubtful, sets, max(1, 100 - 3 * (100 - percent)))

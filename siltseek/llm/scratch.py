@@ -36,13 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
 ARROW_ROWS = 1000
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and return a frame that reads the written files."""
+def scratch(df: DataFrame, tag: str, at_a_time: int = ARROW_ROWS) -> DataFrame:
+    """Write ``df`` once and return a frame that reads the written files; a Python worker gets ``at_a_time`` rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siltseek/{uuid.uuid4().hex}/{tag}"
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(rows)
-    spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set(rows, str(at_a_time))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
