@@ -96,24 +96,25 @@ def _moments(shared):
     return run
 
 
-def _best(shared, mean: np.ndarray, sd: np.ndarray, k: int):
+def _best(shared, mean: np.ndarray, sd: np.ndarray, k: int, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             order = batch.column(0).to_pandas().sort_values(kind="stable").index.to_numpy()
             total = sum(w * (x - mean[i][:, None]) / sd[i][:, None] for i, (w, x) in enumerate(_products(shared.value, batch)))[:, order]
-            best = np.argsort(-total, axis=1, kind="stable")[:, :k]
+            best = np.argsort(-(total if digits is None else np.round(total, digits)), axis=1, kind="stable")[:, :k]
             ids = batch.column(0).take(pa.array(order[best].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(total)), best.shape[1])), ids, pa.array(np.take_along_axis(total, best, 1).ravel())], ["question", "doc_id", "score"])
 
     return run
 
 
-def zscore_top_k(questions: Questions, docs: DataFrame, k: int) -> DataFrame:
+def zscore_top_k(questions: Questions, docs: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """(qid, rank, doc_id, score): the exact top k of one block over all documents.
 
     ``docs`` has doc_id, numbers (with places, if sparse), topics, and asked and
     matched (the block's questions that share words with it, and their BM25).
-    Ties go to the smaller id.
+    Ties go to the smaller id; with ``digits``, scores that are equal when rounded
+    to so many places tie, as copies of a text do whose sums were made in another order.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(questions)
@@ -125,7 +126,7 @@ def zscore_top_k(questions: Questions, docs: DataFrame, k: int) -> DataFrame:
         deviation = np.sqrt(max(r["ss"] / r["n"] - m * m, 0.0))
         mean[r["scorer"], r["question"]], sd[r["scorer"], r["question"]] = m, 1.0 if deviation < LEAST_SD else deviation
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_best(shared, mean, sd, k), f"question long, doc_id {kind}, score double")
+    found = docs.mapInArrow(_best(shared, mean, sd, k, digits), f"question long, doc_id {kind}, score double")
     names = F.broadcast(spark.createDataFrame(list(enumerate(questions.ids)), ["question", "qid"]))
-    rank = F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), "doc_id"))
+    rank = F.row_number().over(W.partitionBy("question").orderBy(F.desc("score" if digits is None else F.round("score", digits)), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "question").select("qid", "rank", "doc_id", "score")

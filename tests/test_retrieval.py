@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltseek.functions import text as T
-from siltseek.operators import dense, fusion, lexical, metrics
+from siltseek.operators import blocks, dense, fusion, lexical, metrics
 from siltseek.plans.encoder import HarnessEncoder
 from siltseek.plans.retriever import CodeIndex, HybridRetriever
 from siltseek.sources.config import PipelineConfig, resolve
@@ -210,3 +210,11 @@ def test_config(tmp_path):
     (tmp_path / "configs/default.json").write_text('{"bm25_weight": 0.5}')
     c = resolve(tmp_path, model="hashing")
     assert (c.bm25_weight, c.model, c.cache_path) == (0.5, "hashing", str(tmp_path / ".cache/embeddings.sqlite"))
+
+
+def test_scores_equal_to_so_many_places_tie(spark):
+    rows = spark.createDataFrame([(1, [1.0]), (2, [1.0 + 1e-12]), (3, [-1.0]), (4, [0.5])], "doc_id long, numbers array<double>")
+    block = blocks.Questions(["q"], np.ones((1, 1)), np.zeros((1, 1)), (1.0, 0.0, 0.0))
+    ranked = lambda digits: [r.doc_id for r in blocks.zscore_top_k(block, rows.coalesce(1), 2, digits).orderBy("rank").collect()]
+    assert ranked(None) == [2, 1]
+    assert ranked(9) == [1, 2]
