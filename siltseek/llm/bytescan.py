@@ -8,7 +8,9 @@ divided by base^start depends on the substring alone.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             last = min(max(last, first + 1), batch.num_rows, first + 60_000)
             yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
             first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker waits for its next task with what it holds."""
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 @functools.lru_cache(maxsize=2)

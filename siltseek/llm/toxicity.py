@@ -223,7 +223,8 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     Null and empty texts have the score of the bias alone; repeated rows all stay
     or all go; ids are not read; an empty table stays empty.
     """
-    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema)
+    # written, which also bounds the rows of whole texts that a worker gets at a time
+    return scratch(docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema), "clean")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -641,3 +641,16 @@ def test_quality_on_held_out_rows(spark):
 
 def test_clashing_names_are_there(awkward):
     assert set(CLASHES) <= set(awkward.columns)
+
+
+class _FewRows:
+    """Stands for a model; a worker must not get many whole texts at once."""
+
+    def score(self, data, offsets):
+        assert len(offsets) - 1 <= 1000
+        return np.zeros(len(offsets) - 1)
+
+
+def test_drop_toxic_gets_few_whole_texts_at_a_time(spark):
+    docs = make(spark, [(i, "some words") for i in range(2500)]).coalesce(1)
+    assert toxicity.drop_toxic(docs, _FewRows()).count() == 2500
