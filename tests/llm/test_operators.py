@@ -654,3 +654,18 @@ class _FewRows:
 def test_drop_toxic_gets_few_whole_texts_at_a_time(spark):
     docs = make(spark, [(i, "some words") for i in range(2500)]).coalesce(1)
     assert toxicity.drop_toxic(docs, _FewRows()).count() == 2500
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    n, width = 3000, quality._WIDTH
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(n, width)), (np.arange(n) % 30 != 0).astype(int)
+    x[:, 0] += label
+    rows = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(n)], "_id long, label int, x array<double>")
+    blocks = [(r.block, r.label, r.x[1]) for r in quality.blocks_of(rows, int(label.sum()), int(n - label.sum())).collect()]
+    assert {v for _, _, v in blocks} == set(x[:, 1])  # 2,900 good texts were cut to 2,000
+    assert {b for b, y, _ in blocks if y == 0} == {b for b, y, _ in blocks if y == 1} == set(range(6))
+    model = quality.train(rows)
+    ranks = np.sort(model.rank(x))
+    assert abs((ranks[99] + ranks[100]) / 2 - (float(np.log(quality.CUT / (1 - quality.CUT))) - model.shift)) < 1e-9
+    assert model.rank(x)[label == 1].mean() > model.rank(x)[label == 0].mean()
