@@ -18,11 +18,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siltseek.operators import lexical
+from siltseek.operators.features import ragged
 from siltseek.operators.fusion import LEAST_SD
 
 #: Questions a block, documents a product.
 QUESTIONS, DOCUMENTS = 512, 1024
 
+#: Questions a block where each block reads the texts once, and shares of BM25 scores summed at a time.
+ASKED, SHARES = 2048, 1 << 22
+
+
+@dataclass
+class Words:
+    """Asked terms by number: the questions each is in (``count`` of them from ``first`` on) with their weights, and what BM25 needs."""
+
+    first: np.ndarray
+    count: np.ndarray
+    questions: np.ndarray
+    weights: np.ndarray
+    idf: np.ndarray
+    mean_terms: float
+    k1: float
+    b: float
+
+    def scores(self, n_questions: int, words: np.ndarray, times: np.ndarray, row: np.ndarray, n_terms: np.ndarray) -> np.ndarray:
+        """BM25 by question and document, of the terms ``words`` that occur ``times`` times in the documents ``row``."""
+        weight = self.idf[words] * times * (self.k1 + 1) / (times + self.k1 * (1 - self.b + self.b * n_terms[row] / self.mean_terms))
+        count, total = self.count[words], np.zeros(len(n_terms) * n_questions)
+        upto = np.cumsum(count)
+        at = 0
+        while at < len(words):  # a document's terms always add up in the same order
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SHARES, "right")))
+            share = ragged(self.first[words[at:end]], count[at:end])
+            key = np.repeat(row[at:end] * n_questions, count[at:end]) + self.questions[share]
+            low, high = row[at] * n_questions, (row[end - 1] + 1) * n_questions
+            total[low:high] += np.bincount(key - low, self.weights[share] * np.repeat(weight[at:end], count[at:end]), high - low)
+            at = end
+        return total.reshape(-1, n_questions).T
+
 
 @dataclass
 class Questions:
@@ -32,6 +65,7 @@ class Questions:
     vectors: np.ndarray
     topics: np.ndarray
     weights: tuple[float, float, float]
+    words: Words | None = None
 
 
 def hybrid_blocks(asked: DataFrame, docs: DataFrame, terms: DataFrame, weights: tuple[float, float]) -> Iterator[tuple[Questions, DataFrame]]:
@@ -61,14 +95,21 @@ def _products(q: Questions, batch: pa.RecordBatch) -> list[tuple[float, np.ndarr
     lengths = lambda c: np.repeat(np.arange(n), get(c).value_lengths().fill_null(0).to_numpy())
     values = lambda c: get(c).flatten().to_numpy(zero_copy_only=False)
     vectors = np.zeros((n, q.vectors.shape[1]))
-    if batch.schema.get_field_index("places") >= 0:
+    if batch.schema.get_field_index("counts") >= 0:  # sums of signs, of which the hashed vector is made
+        row, x = lengths("counts"), values("counts")
+        x = np.sign(x) * np.log1p(np.abs(x))
+        vectors[row, values("places")] = x / np.sqrt(np.bincount(row, x * x, n))[row]
+    elif batch.schema.get_field_index("places") >= 0:
         vectors[lengths("places"), values("places")] = values("numbers")
     else:
         vectors[lengths("numbers"), np.arange(len(lengths("numbers"))) % q.vectors.shape[1]] = values("numbers")
     found = [(q.weights[0], q.vectors @ vectors.T)]
     if q.weights[1]:
-        bm25 = np.zeros((len(q.ids), n))
-        bm25[values("asked"), lengths("asked")] = values("matched")
+        if q.words:
+            bm25 = q.words.scores(len(q.ids), values("words"), values("times"), lengths("words"), get("n_terms").to_numpy())
+        else:
+            bm25 = np.zeros((len(q.ids), n))
+            bm25[values("asked"), lengths("asked")] = values("matched")
         found.append((q.weights[1], bm25))
     if q.weights[2]:
         topics = np.zeros((n, q.topics.shape[1]))
@@ -112,7 +153,8 @@ def zscore_top_k(questions: Questions, docs: DataFrame, k: int, digits: int | No
     """(qid, rank, doc_id, score): the exact top k of one block over all documents.
 
     ``docs`` has doc_id, numbers (with places, if sparse), topics, and asked and
-    matched (the block's questions that share words with it, and their BM25).
+    matched (the block's questions that share words with it, and their BM25); or
+    it is made by ``features.rows``.
     Ties go to the smaller id; with ``digits``, scores that are equal when rounded
     to so many places tie, as copies of a text do whose sums were made in another order.
     """

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltseek.functions import text as T, topics
 from siltseek.functions.lexicon import TOPIC_NAMES
-from siltseek.operators import blocks, dense, fusion, lexical
+from siltseek.operators import blocks, dense, features, fusion, lexical
 from siltseek.operators.sizing import over_all_cores
 from siltseek.sources.config import PipelineConfig
 
@@ -59,20 +60,24 @@ class HybridRetriever:
         self.config = config or PipelineConfig()
         self.embedder = embedder or dense.build_embedder(self.config.model, max_seq_length=self.config.max_seq_length)
 
-    def document_texts(self, docs: DataFrame) -> DataFrame:
-        """(id, text) as the encoder sees them."""
+    def _encoded(self) -> Column:
+        """The column text as the encoder sees it."""
         body = T.clean_code("text", self.config.doc_max_chars)
         if self.config.augment_tags:
             body = topics.tagged_document(body, topics.top_tags(topics.code_topics(F.col("text"))))
-        return docs.select(F.col("doc_id").alias("id"), body.alias("text"))
+        return body
+
+    def document_texts(self, docs: DataFrame) -> DataFrame:
+        """(id, text) as the encoder sees them."""
+        return docs.select(F.col("doc_id").alias("id"), self._encoded().alias("text"))
 
-    def query_texts(self, queries: DataFrame) -> DataFrame:
-        """(qid, full, statement); the statement is null where it is the full view."""
+    def query_texts(self, queries: DataFrame, *more: Column) -> DataFrame:
+        """(qid, full, statement), and ``more`` of the questions; the statement is null where it is the full view."""
         views = queries.select("qid", "text", T.query_views("text").alias("v")).select("qid", "text", F.col("v.full").alias("full"), F.col("v.statement").alias("statement"))
         if self.config.augment_tags:
             tags = topics.top_tags(topics.query_topics(F.col("text")))
-            views = views.select("qid", *[topics.tagged_query(F.col(c), tags).alias(c) for c in ("full", "statement")])
-        return views.select("qid", "full", F.when(F.col("statement") != F.col("full"), F.col("statement")).alias("statement"))
+            views = views.select("qid", "text", *[topics.tagged_query(F.col(c), tags).alias(c) for c in ("full", "statement")])
+        return views.select("qid", "full", F.when(F.col("statement") != F.col("full"), F.col("statement")).alias("statement"), *more)
 
     def build_index(self, docs: DataFrame) -> CodeIndex:
         cfg, docs = self.config, over_all_cores(docs)
@@ -165,9 +170,52 @@ class HybridRetriever:
         """(qid, rank, doc_id, score), best first."""
         cfg = self.config
         if cfg.fusion != "rrf":
-            found = [blocks.zscore_top_k(block, rows, top_k) for block, rows in self._blocks(index, queries)]
-            return reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, doc_id {index.docs.schema['doc_id'].dataType.simpleString()}, score double")
+            return self._best(self._blocks(index, queries), index.docs, queries, top_k)
         weights = {"dense": 1.0, "bm25": cfg.bm25_weight, "topic": cfg.topic_weight}
         ranked = fusion.rank_scored(self.all_scores(index, queries), [c for c, w in weights.items() if w], cfg.rrf_k)
         scored = ranked.select("qid", "doc_id", fusion.weighted({f"r_{c}": w for c, w in weights.items()}).alias("score"))
         return fusion.top_k(scored, top_k).select("qid", "rank", "doc_id", "score")
+
+    def _once(self, docs: DataFrame, queries: DataFrame) -> Iterator[tuple[blocks.Questions, DataFrame]]:
+        """Blocks of questions with the documents' rows for them, each by one pass over the texts."""
+        cfg = self.config
+        # cleaning changes no term of a text that is not cut, unless a CR alone ends a line of it
+        whole = (F.length(F.replace(F.col("text"), F.lit("\t"), F.lit("    "))) <= cfg.doc_max_chars) & ~F.regexp_like("text", F.lit("\r(?!\n)"))
+        encoded = F.when(F.lit(not cfg.augment_tags) & F.coalesce(whole, F.lit(True)), None).otherwise(self._encoded())
+        bag = T.query_terms(T.query_views("text")["full"])
+        asked = self.query_texts(queries.orderBy("qid"), topics.query_topics(F.col("text")).alias("topics"), bag.alias("terms"))
+        ids = ((qid, list(rows)) for qid, rows in itertools.groupby(asked.toLocalIterator(), lambda r: r["qid"]))
+        while part := list(itertools.islice(ids, blocks.ASKED)):
+            full = features.hashed_vectors([[r["full"] for r in rows] for _, rows in part], self.embedder.dim)
+            statement = features.hashed_vectors([[r["statement"] for r in rows if r["statement"] is not None] for _, rows in part], self.embedder.dim)
+            two = np.array([[any(r["statement"] is not None for r in rows)] for _, rows in part])
+            tagged = np.array([rows[-1]["topics"] for _, rows in part])
+            length = np.linalg.norm(tagged, axis=1, keepdims=True)
+            block = blocks.Questions([qid for qid, _ in part], np.where(two, cfg.w_full, 1.0) * full + cfg.w_stmt * statement, tagged / np.where(length == 0, 1, length), (1.0, cfg.bm25_weight, cfg.topic_weight))
+            bags = [Counter(t for r in rows for t in r["terms"]) if cfg.bm25_weight else Counter() for _, rows in part]
+            terms = sorted(set().union(*bags))
+            found = features.rows(docs, terms, self.embedder.dim, bool(cfg.topic_weight), encoded).persist()  # read by three passes
+            if cfg.bm25_weight:
+                df, n, mean = features.statistics(found, len(terms))
+                number = {t: i for i, t in enumerate(terms)}
+                own = sorted((number[t], q, 1 + np.log(times)) for q, bag in enumerate(bags) for t, times in bag.items())
+                count = np.bincount(np.array([t for t, _, _ in own], np.int64), minlength=len(terms))
+                idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+                block.words = blocks.Words(np.cumsum(count) - count, count, np.array([q for _, q, _ in own], np.int64), np.array([w for _, _, w in own], float), idf, mean, cfg.bm25_k1, cfg.bm25_b)
+            yield block, found
+
+    def search_texts(self, docs: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """What ``search`` finds in ``build_index(docs)``, for a search that keeps no index.
+
+        With the hashing encoder and standardised sums, each document is one row
+        from its text to its scores: no row a term, bucket or pair exists, and
+        nothing but the best lists is shuffled.
+        """
+        if self.config.fusion == "rrf" or not isinstance(self.embedder, dense.HashingEmbedder):
+            return self.search(self.build_index(docs), queries, top_k)
+        return self._best(self._once(over_all_cores(docs), queries), docs, queries, top_k)
+
+    def _best(self, found: Iterator[tuple[blocks.Questions, DataFrame]], docs: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+        """All blocks' best, ranked by scores rounded to 9 places, so that copies of a text tie."""
+        parts = [blocks.zscore_top_k(block, rows, top_k, 9) for block, rows in found]
+        return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltseek.functions import text as T
-from siltseek.operators import blocks, dense, fusion, lexical, metrics, pairs
+from siltseek.functions import text as T, topics
+from siltseek.operators import blocks, dense, features, fusion, lexical, metrics, pairs
 from siltseek.plans.encoder import HarnessEncoder
 from siltseek.plans.retriever import CodeIndex, HybridRetriever
 from siltseek.sources.config import PipelineConfig, resolve
@@ -273,3 +273,52 @@ def test_metrics_of_hits_are_those_of_judged_documents(spark):
     hits = run.join(qrels, ["qid", "doc_id"], "left").withColumn("hit", F.col("grade").isNotNull())
     got = metrics.mean_metrics_of_hits(hits, qrels.groupBy("qid").agg(F.count("*").alias("n")), 10, ["ordinal"]).first()
     assert abs(got.ndcg - want.ndcg) < 1e-12 and got.mrr == want.mrr and got.queries == want.queries == 2
+
+
+#: What terms, hashing and topics must get right: boundaries, other scripts, cut matches, comments, a CR alone.
+ODD = [
+    "",
+    "getHTTPResponse2 __init__ _x a_B 9lives 12_ab XMLHttp camelCase self None x1y2Z3",
+    "ñandú graph éedges ſet K-heap dıjkstra vİsited adj bfs dfs deque \U0001d4b3graph graph́ a\x85t =\x0bint(",
+    "lru_cachecache lru_cachelru_cache memo f[lru_cache][i] dp[ dp &xbit & bitmask && b & \x0bx ^<<>> LO 1 hi low high",
+    "x = 5 % mod // gcd\n# a comment's words, twice twice\nprint('a \"string\" here', \"and it's\") /* block\nof the code */ '''long\none'''",
+    "# one\rtwo three\r\n# four\rfive 'six\rseven' eight",
+    "for _ in range(int(input())):\n for i in range(t):\n\tfor j in range(m):  \n\n\n\n\x0b  for k in range(n): grid[[ math. x.sort( sorted(",
+    "a" * 70 + " " + "b" * 65 + " short " + "c" * 64,
+    "word " * 900 + "tail\tend",
+]
+
+
+def test_terms_hashes_and_topics_are_those_of_the_columns(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, text string").coalesce(1)
+    want = df.select("id", T.code_terms("text").alias("terms"), topics.code_topics(F.col("text")).alias("topics")).orderBy("id").collect()
+    data = [t.encode() for t in ODD]
+    terms = features._Terms([])
+    found, count = terms.of(data)
+    assert [terms.texts[n].decode() for n in found] == [t for r in want for t in r.terms]
+    assert list(count) == [len(r.terms) for r in want]
+    assert np.allclose(np.log1p(features.topic_counts(data, features.ascii_table(spark))), [r.topics for r in want])
+    assert features._Terms([]).of([b""])[1].tolist() == [0]
+    vectors = features.hashed_vectors([[t] for t in ODD], 1 << 16)
+    rows = dense.HashingEmbedder(1 << 16).embed(df, "doc").collect()
+    assert len(rows) == np.count_nonzero(vectors) and all(abs(vectors[r.id, r.bucket] - r.value) < 1e-12 for r in rows)
+
+
+def test_search_that_keeps_no_index_finds_what_an_index_does(spark, monkeypatch):
+    texts = [*ODD, *SNIPPETS.values(), *ODD[1:4]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    questions = spark.createDataFrame([*ASKED.items(), ("none", ""), ("view", "Sort the edges.\n-----Input-----\nOne word\n-----Note-----\nshort tail")], "qid string, text string")
+    monkeypatch.setattr(blocks, "SHARES", 3)
+    for change in ({}, {"augment_tags": True}, {"doc_max_chars": 1 << 30, "topic_weight": 0.0}, {"bm25_weight": 0.0}):
+        r = HybridRetriever(PipelineConfig(model="hashing", **change))
+        once = r.search_texts(df, questions, len(texts))
+        assert "Generate" not in (plan := once._jdf.queryExecution().toString()) and "SortMergeJoin" not in plan
+        got, want = ({(x.qid, x.doc_id): (x["rank"], x.score) for x in run.collect()} for run in (once, r.search(r.build_index(df), questions, len(texts))))
+        assert got.keys() == want.keys() and len(got) == 7 * len(texts)
+        assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+        for q in {q for q, _ in got}:  # copies tie, so the smaller id comes first
+            assert all(got[q, i][0] < got[q, len(texts) - 4 + i][0] for i in (1, 2, 3))
+    monkeypatch.setattr(blocks, "ASKED", 3)
+    few = {(x.qid, x.doc_id): x.score for x in r.search_texts(df, questions, 4).collect()}
+    assert len(few) == 28 and all(abs(got[k][1] - s) < 1e-9 for k, s in few.items())
+    assert r.search_texts(df.limit(0), questions, 3).count() == r.search_texts(df, questions.limit(0), 3).count() == 0
